@@ -16,12 +16,15 @@ def nuts_region_count(c: Column) -> Column:
 
 def nuts_level(c: Column) -> Column:
     """Mean stripped length of codes of length >= 2, minus 2; null if none."""
-    lens = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ",", -1),
-                                lambda x: F.length(strip_ws(x))),
-                    lambda n: n >= 2)
-    total = F.aggregate(lens, F.lit(0).cast("bigint"), lambda acc, n: acc + n)
-    return F.when(F.size(lens) > 0,
-                  total.cast("double") / F.size(lens).cast("double") - 2.0)
+    lens = F.transform(F.split(F.coalesce(c, F.lit("")), ",", -1),
+                       lambda x: F.length(strip_ws(x)).cast("bigint"))
+    zero = F.struct(F.lit(0).cast("bigint").alias("s"), F.lit(0).cast("bigint").alias("n"))
+    # one pass over the codes: (sum, count) of the lengths >= 2
+    return F.aggregate(
+        lens, zero,
+        lambda acc, n: F.when(n >= 2, F.struct((acc["s"] + n).alias("s"),
+                                               (acc["n"] + 1).alias("n"))).otherwise(acc),
+        lambda acc: F.when(acc["n"] > 0, acc["s"].cast("double") / acc["n"].cast("double") - 2.0))
 
 
 def winner_count(c: Column) -> Column:
@@ -32,7 +35,8 @@ def winner_count(c: Column) -> Column:
 
 def winner_country_count(c: Column) -> Column:
     """Distinct non-empty stripped country codes of a ``---`` list."""
-    codes = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), "---", -1), strip_ws),
+    codes = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), "---", -1),
+                                 lambda x: strip_ws(x)),
                      lambda x: x != "")
     return F.size(F.array_distinct(codes)).cast("int")
 

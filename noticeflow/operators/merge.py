@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from noticeflow.operators import ordered
 from noticeflow.operators.match import CAN_NOTICE, CFC_NOTICE, lot_key_exprs
+from noticeflow.session import materialize
 
 JOIN_KEYS = ["JOIN_NOTICE", "JOIN_LOT"]
 
@@ -96,8 +97,11 @@ def id_codes(ml: DataFrame, col: str, code: str) -> DataFrame:
 
 
 def prepare_final_ml_dataset(master: DataFrame) -> DataFrame:
-    """P10 + A11: golden table with integer notice and lot codes."""
-    ml = select_ml_columns(master)
+    """P10 + A11: golden table with integer notice and lot codes.
+
+    The projected merge is materialised once; both code tables and the final
+    join read it instead of recomputing the join chain."""
+    ml = materialize(select_ml_columns(master))
     for col in ("ID_NOTICE", "ID_LOT"):
         if col in ml.columns:
             codes = id_codes(ml, col, "_code")

@@ -205,3 +205,16 @@ sql("group_folds", f"""SELECT {_KEY} AS _row_key, ID_NOTICE,
     cast({_h('ID_NOTICE', 43)} % 3 as int) AS fold FROM k6""")
 sql("row_folds", f"""SELECT _row_key, cast({_h('_row_key', 43)} % 3 as int) AS fold
     FROM (SELECT {_KEY} AS _row_key FROM k6)""")
+
+
+# ---------------------------------------------------------------- sources
+_TOKENS = ", ".join("'" + t + "'" for t in ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN",
+                                              "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A",
+                                              "NA", "NULL", "NaN", "None", "n/a", "nan", "null"])
+_STR_CFC = ["ID_LOT", "TOP_TYPE", "ISO_COUNTRY_CODE", "CPV", "TAL_LOCATION_NUTS", "DT_DISPATCH",
+            "DT_APPLICATIONS", "B_EU_FUNDS", "B_FRA_AGREEMENT", "FRA_ESTIMATED", "XSD_VERSION",
+            "CAE_TYPE", "MAIN_ACTIVITY", "TYPE_OF_CONTRACT", "CRIT_CODE", "ID_TYPE", "FUTURE_CAN_ID",
+            "B_RECURRENT_PROCUREMENT"]
+sql("ingest_roundtrip", "SELECT * EXCLUDE (_row_pos) REPLACE ("
+    + ", ".join(f"CASE WHEN {c} IN ({_TOKENS}) THEN NULL ELSE {c} END AS {c}" for c in _STR_CFC)
+    + "), _row_pos AS _src_pos, cast(row_number() OVER (ORDER BY _row_pos) - 1 as bigint) AS _row_pos FROM cfc")

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from noticeflow.operators import clean, match, merge
 from noticeflow.operators.reduce import drop_missing_targets, remove_logical_errors
 from noticeflow.plans.prepare import prepare
+from noticeflow.session import materialize
 from noticeflow.sources import fixtures
 
 
@@ -25,9 +26,10 @@ class Prepared:
 
 
 def prepared(spark: SparkSession, sf_dir: str) -> Prepared:
-    """Stage 01 over the fixtures."""
-    return Prepared(prepare(fixtures.cfc(spark, sf_dir), "cfc"),
-                    prepare(fixtures.can(spark, sf_dir), "can"))
+    """Stage 01 over the fixtures (the lazy plans are reused per session)."""
+    return Prepared(
+        fixtures.memo(spark, ("prep_cfc", sf_dir), lambda: prepare(fixtures.cfc(spark, sf_dir), "cfc")),
+        fixtures.memo(spark, ("prep_can", sf_dir), lambda: prepare(fixtures.can(spark, sf_dir), "can")))
 
 
 def notice_matched(p: Prepared) -> Prepared:
@@ -47,7 +49,7 @@ def master(p: Prepared) -> DataFrame:
 
 def combined(p: Prepared) -> DataFrame:
     """Stage 04: the golden table (``ted_combined``)."""
-    return merge.prepare_final_ml_dataset(master(p))
+    return materialize(merge.prepare_final_ml_dataset(master(p)))
 
 
 def cleaned(ml: DataFrame, quantile_method: str = "ranked") -> DataFrame:
@@ -55,10 +57,12 @@ def cleaned(ml: DataFrame, quantile_method: str = "ranked") -> DataFrame:
     winsorising, in the reference's order (the order changes the fences)."""
     df = drop_missing_targets(ml, clean.CRITICAL_TARGETS)
     df = remove_logical_errors(df, clean.LOGICAL_CHECK_COLS, 0.0)
-    df = clean.impute_domain_specific_missing_values(df)
+    # each step's input feeds both its fences and its rows: materialise once
+    df = materialize(clean.impute_domain_specific_missing_values(df))
     df = clean.remove_extreme_outliers(df, clean.TARGET_LOG_COLS, 3.0, "log", quantile_method)
-    df = clean.winsorize_features(df, clean.INPUT_LOG_COLS, 3.0, "log", quantile_method)
-    df = clean.winsorize_features(df, clean.INPUT_STANDARD_COLS, 3.0, "standard",
+    df = clean.winsorize_features(materialize(df), clean.INPUT_LOG_COLS, 3.0, "log",
+                                  quantile_method)
+    df = clean.winsorize_features(materialize(df), clean.INPUT_STANDARD_COLS, 3.0, "standard",
                                   quantile_method)
     return df
 

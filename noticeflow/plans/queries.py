@@ -22,7 +22,7 @@ from noticeflow.operators.reduce import (DROP_CFC, drop_missing_targets, filter_
                                          remove_logical_errors)
 from noticeflow.plans import pipeline as pl
 from noticeflow.plans.prepare import COOPERATIVE_SOURCES, FRAMEWORK_SOURCES
-from noticeflow.session import ensure_checkpoint_dir
+from noticeflow.session import ensure_checkpoint_dir, materialize
 from noticeflow.sources import fixtures
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,21 @@ def _r(c, n: int = 6):
     return F.bround(F.col(c) if isinstance(c, str) else c, n)
 
 
+# ---------------------------------------------------------------- sources
+
+@query
+def ingest_roundtrip(spark, d):
+    """The raw contract notices written as CSV (in row order), then
+    ingested with an explicit schema: null tokens, NaN, file-order ``_row_pos``."""
+    from noticeflow.session import stage_dir
+    from noticeflow.sources import io
+    raw = fixtures.cfc(spark, d)
+    path = stage_dir(spark, "ingest_cfc_csv")
+    io.write_csv(raw.orderBy("_row_pos").withColumnRenamed("_row_pos", "_src_pos"), path)
+    schema = raw.withColumnRenamed("_row_pos", "_src_pos").schema
+    return io.with_row_pos(io.read_csv(spark, path, schema))
+
+
 # ---------------------------------------------------------------- stage 01
 
 @query
@@ -327,7 +342,7 @@ def logical_errors_removed(spark, d):
 def _imputed(spark, d):
     df = drop_missing_targets(_ml(spark, d), clean.CRITICAL_TARGETS)
     df = remove_logical_errors(df, clean.LOGICAL_CHECK_COLS, 0.0)
-    return clean.impute_domain_specific_missing_values(df)
+    return materialize(clean.impute_domain_specific_missing_values(df))
 
 
 @query
@@ -341,9 +356,9 @@ def iqr_thresholds(spark, d):
     """The fences of the three cleaning steps (each on its own input)."""
     x = _imputed(spark, d)
     f1 = clean.fences(x, clean.TARGET_LOG_COLS, 3.0, "log")
-    x2 = clean.remove_extreme_outliers(x, clean.TARGET_LOG_COLS, 3.0, "log")
+    x2 = materialize(clean.remove_extreme_outliers(x, clean.TARGET_LOG_COLS, 3.0, "log"))
     f2 = clean.fences(x2, clean.INPUT_LOG_COLS, 3.0, "log")
-    x3 = clean.winsorize_features(x2, clean.INPUT_LOG_COLS, 3.0, "log")
+    x3 = materialize(clean.winsorize_features(x2, clean.INPUT_LOG_COLS, 3.0, "log"))
     f3 = clean.fences(x3, clean.INPUT_STANDARD_COLS, 3.0, "standard")
 
     def long(f, step, cols):

@@ -58,3 +58,13 @@ def stage_dir(spark: SparkSession, name: str) -> str:
     """A folder for a written stage table under the shared checkpoint root."""
     root = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{root}/stages/{name}"
+
+
+def materialize(df):
+    """Cut lineage: a reliable checkpoint in the shared checkpoint folder.
+
+    Used where one intermediate table feeds both an aggregate (fences, codes)
+    and the rows that use it, so the upstream joins run once; survives the
+    loss of executors (unlike a local checkpoint)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -25,9 +25,19 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a scan that has fewer splits than the cluster has cores.
+
+    A small single-row-group Parquet file reads as one split, and every
+    broadcast join and projection above it would then run in one task. Big
+    inputs already have many splits and are left alone (no extra shuffle)."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def _base(spark: SparkSession, sf_dir: str, status: str) -> DataFrame:
-    li = read_table(spark, sf_dir, "lineitem").select(*LINE_COLS).where(
-        F.col("l_linestatus") == status)
+    li = spread(read_table(spark, sf_dir, "lineitem").select(*LINE_COLS).where(
+        F.col("l_linestatus") == status))
     o = read_table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
     c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey",
@@ -106,8 +116,29 @@ def _shared_cols() -> list[Column]:
     ]
 
 
+def memo(spark: SparkSession, key: tuple, build):
+    """Reuse a lazy DataFrame *plan* (no data) within one session: building
+    and analysing the fixture and stage plans costs seconds of driver time."""
+    store = getattr(spark, "_noticeflow_plans", None)
+    if store is None:
+        store = {}
+        spark._noticeflow_plans = store
+    if key not in store:
+        store[key] = build()
+    return store[key]
+
+
 def cfc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw contract notices (one row per planned lot)."""
+    return memo(spark, ("cfc", sf_dir), lambda: _cfc(spark, sf_dir))
+
+
+def can(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw contract award notices (one row per awarded lot)."""
+    return memo(spark, ("can", sf_dir), lambda: _can(spark, sf_dir))
+
+
+def _cfc(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("l_orderkey")
     disc, size = F.col("l_discount"), F.col("p_size")
     df = _base(spark, sf_dir, "O").select(
@@ -122,8 +153,7 @@ def cfc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.withColumnRenamed("DT_END", "DT_APPLICATIONS")
 
 
-def can(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw contract award notices (one row per awarded lot)."""
+def _can(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, size = F.col("l_quantity"), F.col("p_size")
     ep, disc = F.col("l_extendedprice"), F.col("l_discount")
     df = _base(spark, sf_dir, "F").select(
