@@ -201,3 +201,30 @@ def calinski_harabasz(df: DataFrame, label: str, vec: str) -> DataFrame:
     r = w.crossJoin(bt)
     ch = (F.col("_b") / (F.col("_k") - 1)) / (F.col("_w") / (F.col("_n") - F.col("_k")))
     return r.select(sig(F.when(F.col("_k") >= 2, ch)).alias("Calinski_Harabasz"))
+
+
+def silhouette_sqeuclidean(df: DataFrame, label: str, vec: str) -> DataFrame:
+    """Mean silhouette with squared Euclidean distance, exact on the full
+    table in linear time (no pairs): the mean squared distance from x to a
+    cluster C is ``|x|^2 - 2 x.mu_C + mean_C |y|^2``. Own-cluster distance
+    excludes the point itself (``* n / (n - 1)``); singletons score 0.
+    The k cluster summaries ride along as one broadcast row."""
+    pts = df.where(F.col(label) != -1).select(
+        F.col(label).alias("_l"), F.transform(vec, lambda x: x.cast("double")).alias("_x"))
+    pts = pts.withColumn("_x2", F.aggregate("_x", F.lit(0.0), lambda a, v: a + v * v))
+    cent = _centroids(pts.withColumnRenamed("_l", "_lab"), "_lab", "_x")
+    m2 = pts.groupBy("_l").agg(F.avg("_x2").alias("_m2"))
+    summ = cent.join(m2, "_l").agg(F.collect_list(F.struct("_l", "_n", "_c", "_m2")).alias("_cs"))
+    j = pts.crossJoin(F.broadcast(summ))  # one row holding k summaries
+    dist = F.transform("_cs", lambda c: F.struct(
+        c["_l"].alias("l"), c["_n"].alias("n"),
+        (F.col("_x2") - 2.0 * F.aggregate(F.zip_with(F.col("_x"), c["_c"], lambda a, b: a * b),
+                                          F.lit(0.0), lambda s, v: s + v) + c["_m2"]).alias("d")))
+    j = j.withColumn("_d", dist)
+    own = F.filter("_d", lambda c: c["l"] == F.col("_l"))[0]
+    others = F.filter("_d", lambda c: c["l"] != F.col("_l"))
+    a = F.try_divide(own["d"] * own["n"].cast("double"), (own["n"] - 1).cast("double"))
+    b = F.array_min(F.transform(others, lambda c: c["d"]))
+    s = F.when(own["n"] <= 1, F.lit(0.0)).when(a < b, 1.0 - a / b).when(a > b, b / a - 1.0) \
+         .otherwise(F.lit(0.0))
+    return j.agg(sig(F.avg(s)).alias("Silhouette_SqEuclidean"))

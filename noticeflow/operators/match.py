@@ -6,8 +6,9 @@ Here each split is a semi-join (matched) or anti-join (orphans) against the
 it into a broadcast join at run time when the key set turns out small.
 
 Null keys never match (as in the reference, where ``isin`` on a missing id
-is false). Rows with a null key are routed around the join: they would all
-hash to one shuffle partition, and a third of a table can have no award id.
+is false). A third of a table can have no award id; such rows must not all
+hash to one shuffle partition: semi-joins drop them before the shuffle, and
+anti-joins and tagging give them unique never-matching surrogate keys.
 """
 
 from __future__ import annotations
@@ -45,26 +46,40 @@ def _require(df: DataFrame, cols) -> None:
 
 def _keys(df: DataFrame, exprs: dict[str, Column]) -> DataFrame:
     """Distinct non-null key tuples under the given output names."""
-    k = df.select(*[e.alias(n) for n, e in exprs.items()]).dropna()
+    k = df.select(*[e.cast("string").alias(n) for n, e in exprs.items()]).dropna()
     return k.distinct()
 
 
-def semi_anti(df: DataFrame, key_exprs: list[Column], keys: DataFrame,
-              how: str) -> DataFrame:
-    """``left_semi``/``left_anti`` of ``df`` against a distinct key table.
+# A prefix no real key text carries: null keys become unique never-matching
+# surrogates, so they spread over all partitions in one pass instead of
+# hashing to a single task (and the input is not scanned twice).
+_NULL_SALT = "\u0001null:"
 
-    ``keys`` has columns ``_k0.._kn`` matching ``key_exprs``. Rows with a null
-    key go straight to the anti side.
-    """
+
+def _keyed(df: DataFrame, key_exprs: list[Column]) -> tuple[DataFrame, list[str]]:
     names = [f"_k{i}" for i in range(len(key_exprs))]
     tmp = df.withColumns(dict(zip(names, key_exprs)))
     any_null = F.lit(False)
     for n in names:
         any_null = any_null | F.col(n).isNull()
-    joined = tmp.where(~any_null).join(keys, on=names, how=how)
-    if how == "left_anti":
-        joined = joined.unionByName(tmp.where(any_null))
-    return joined.drop(*names)
+    salt = F.concat(F.lit(_NULL_SALT), F.monotonically_increasing_id().cast("string"))
+    tmp = tmp.withColumn(names[0], F.when(any_null, salt).otherwise(F.col(names[0]).cast("string")))
+    return tmp, names
+
+
+def semi_anti(df: DataFrame, key_exprs: list[Column], keys: DataFrame,
+              how: str) -> DataFrame:
+    """``left_semi``/``left_anti`` of ``df`` against a distinct key table.
+
+    ``keys`` has columns ``_k0.._kn`` (text) matching ``key_exprs``. Null
+    keys never match; on the anti side they are kept."""
+    names = [f"_k{i}" for i in range(len(key_exprs))]
+    if how == "left_semi":
+        # Catalyst drops null join keys before the shuffle: no routing needed
+        tmp = df.withColumns(dict(zip(names, key_exprs)))
+        return tmp.join(keys, on=names, how=how).drop(*names)
+    tmp, names = _keyed(df, key_exprs)
+    return tmp.join(keys, on=names, how=how).drop(*names)
 
 
 def tag_matched(df: DataFrame, key_exprs: list[Column], keys: DataFrame,
@@ -73,18 +88,11 @@ def tag_matched(df: DataFrame, key_exprs: list[Column], keys: DataFrame,
 
     One left join against distinct keys (no fan-out) instead of a semi- and
     an anti-join, so aggregates over matched and orphan rows read the table
-    once. Null keys are routed around the join (flag false).
-    """
-    names = [f"_k{i}" for i in range(len(key_exprs))]
-    tmp = df.withColumns(dict(zip(names, key_exprs)))
-    any_null = F.lit(False)
-    for n in names:
-        any_null = any_null | F.col(n).isNull()
+    once. Null keys get never-matching surrogates (flag false)."""
+    tmp, names = _keyed(df, key_exprs)
     hit = keys.select(*names).withColumn(flag, F.lit(True))
-    tagged = (tmp.where(~any_null).join(hit, on=names, how="left")
-                 .withColumn(flag, F.coalesce(F.col(flag), F.lit(False))))
-    nulls = tmp.where(any_null).withColumn(flag, F.lit(False))
-    return tagged.unionByName(nulls).drop(*names)
+    return (tmp.join(hit, on=names, how="left")
+               .withColumn(flag, F.coalesce(F.col(flag), F.lit(False))).drop(*names))
 
 
 # --- notice level (J1) -------------------------------------------------------

@@ -170,3 +170,9 @@ def davies_bouldin(spark, d):
 @query
 def calinski_harabasz(spark, d):
     return evaluate.calinski_harabasz(_embeddings(spark, d), "label", "embedding")
+
+
+@query
+def silhouette_sample(spark, d):
+    """Squared-Euclidean silhouette over all labelled vectors (exact)."""
+    return evaluate.silhouette_sqeuclidean(_embeddings(spark, d), "label", "embedding")

@@ -204,3 +204,17 @@ sql("calinski_harabasz", f"""SELECT {SIG('CASE WHEN k >= 2 THEN (b / (k - 1)) /
     (SELECT sum(n * bl) AS b, count(*) AS k FROM
        (SELECT c.l, sum((c.m - g.g) * (c.m - g.g)) AS bl FROM {_CENT} c JOIN {_G} g USING (i) GROUP BY c.l)
        JOIN {_N} USING (l))""")
+
+_PT = ("(SELECT label AS l, vec_id, list_transform(embedding, lambda v: cast(v as double)) AS x, "
+       "list_sum(list_transform(embedding, lambda v: cast(v as double) * cast(v as double))) AS x2 "
+       "FROM embeddings WHERE label <> -1)")
+_CV = f"(SELECT l, list(m ORDER BY i) AS c FROM {_CENT} GROUP BY l)"
+_CS = f"(SELECT c.l, n.n, c.c, m.m2 FROM {_CV} c JOIN {_N} n USING (l) JOIN (SELECT l, avg(x2) AS m2 FROM {_PT} GROUP BY l) m USING (l))"
+_PD2 = f"""(SELECT p.vec_id, p.l AS pl, s.l AS cl, s.n,
+      p.x2 - 2.0 * list_sum(list_transform(list_zip(p.x, s.c), lambda t: t[1] * t[2])) + s.m2 AS d
+    FROM {_PT} p, {_CS} s)"""
+_PER = f"""(SELECT vec_id, max(CASE WHEN cl = pl THEN n END) AS n1,
+      max(CASE WHEN cl = pl AND n > 1 THEN d * cast(n as double) / cast(n - 1 as double) END) AS a,
+      min(CASE WHEN cl <> pl THEN d END) AS b FROM {_PD2} GROUP BY vec_id)"""
+sql("silhouette_sample", f"""SELECT {SIG('avg(CASE WHEN n1 <= 1 THEN 0.0 WHEN a < b THEN 1.0 - a / b WHEN a > b THEN b / a - 1.0 ELSE 0.0 END)')}
+    AS Silhouette_SqEuclidean FROM {_PER}""")
