@@ -289,8 +289,7 @@ def feature_consistency(spark, d):
 @query
 def ml_dataset(spark, d):
     """P10 + A11: the golden table (``ted_combined``)."""
-    ensure_checkpoint_dir(spark)
-    return pl.combined(_lots(spark, d))
+    return _ml(spark, d)
 
 
 @query
@@ -308,8 +307,7 @@ def id_codes(spark, d):
 @query
 def log1p_features(spark, d):
     """``<c>_LOG1P`` replaces each skewed column of the golden table."""
-    ensure_checkpoint_dir(spark)
-    ml = pl.combined(_lots(spark, d))
+    ml = _ml(spark, d)
     cols = [c for c in SKEWED_COLS if c in ml.columns]
     return ml.select("_row_pos", "_row_pos2",
                      *[_r(F.log1p(F.col(c)), 9).alias(f"{c}_LOG1P") for c in cols])
@@ -324,8 +322,10 @@ SKEWED_COLS = ["NUMBER_OF_TENDERS", "LOTS_NUMBER", "DURATION", "NUTS_LEVEL",
 # ---------------------------------------------------------------- stage 05
 
 def _ml(spark, d):
+    """Stage 04 table, materialised once per session (like the reference's
+    scripts reading their predecessor's Parquet checkpoint)."""
     ensure_checkpoint_dir(spark)
-    return pl.combined(_lots(spark, d))
+    return fixtures.memo(spark, ("stage04", d), lambda: pl.combined(_lots(spark, d)))
 
 
 @query
@@ -340,9 +340,11 @@ def logical_errors_removed(spark, d):
 
 
 def _imputed(spark, d):
-    df = drop_missing_targets(_ml(spark, d), clean.CRITICAL_TARGETS)
-    df = remove_logical_errors(df, clean.LOGICAL_CHECK_COLS, 0.0)
-    return materialize(clean.impute_domain_specific_missing_values(df))
+    def build():
+        df = drop_missing_targets(_ml(spark, d), clean.CRITICAL_TARGETS)
+        df = remove_logical_errors(df, clean.LOGICAL_CHECK_COLS, 0.0)
+        return materialize(clean.impute_domain_specific_missing_values(df))
+    return fixtures.memo(spark, ("stage05_imputed", d), build)
 
 
 @query
@@ -382,12 +384,12 @@ def _rounded(df: DataFrame, cols, n=4) -> DataFrame:
 @query
 def winsorized(spark, d):
     """Stage 05 output (``ted_prepared``); capped columns rounded to 4 places."""
-    return _rounded(pl.cleaned(_ml(spark, d)),
-                    clean.INPUT_LOG_COLS + clean.INPUT_STANDARD_COLS)
+    return _rounded(golden(spark, d), clean.INPUT_LOG_COLS + clean.INPUT_STANDARD_COLS)
 
 
 def golden(spark, d) -> DataFrame:
-    return pl.cleaned(_ml(spark, d))
+    """Stage 05 table (``ted_prepared``), materialised once per session."""
+    return fixtures.memo(spark, ("stage05", d), lambda: materialize(pl.cleaned(_ml(spark, d))))
 
 
 @query
