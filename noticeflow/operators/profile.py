@@ -1,9 +1,8 @@
 """Column profiles (S4, S5): tables instead of HTML reports.
 
-``profile_minimal`` is one aggregation over all columns, unpivoted to one
-row per column. Distinct counts are HyperLogLog by default (bounded memory
-per column); ``exact=True`` counts exactly (an ``Expand`` over the distinct
-columns, one shuffle).
+``profile_minimal`` unpivots every column and aggregates once per column
+name. Distinct counts are HyperLogLog by default (bounded memory per
+column); ``exact=True`` counts exactly (one shuffle of distinct values).
 """
 
 from __future__ import annotations
@@ -28,41 +27,37 @@ def _numeric(df: DataFrame) -> list[str]:
 
 def profile_minimal(df: DataFrame, exact: bool = False, columns: list[str] | None = None) -> DataFrame:
     """Column, Type, Count, Nulls, Null_pct, Distinct, Zeros, Negatives,
-    Min, Max, Mean, Std (sample) -- numeric statistics only for numeric columns."""
+    Min, Max, Mean, Std (sample) -- numeric statistics only for numeric columns.
+
+    Long form: every row is unpivoted to (column, number, text) and one
+    ``groupBy(column)`` computes all statistics, so the plan stays small
+    however wide the table is (a wide one-row aggregate compiles for
+    seconds). Distinct counts are taken on the text form."""
     cols = columns or df.columns
     types = {f.name: f.dataType for f in df.schema.fields}
-    aggs = [F.count(F.lit(1)).alias("_rows")]
-    for c in cols:
-        x = F.col(c)
-        num = isinstance(types[c], NumericType)
-        dist = F.count_distinct(x) if exact else F.approx_count_distinct(x)
-        aggs += [F.count(x).alias(f"{c}__n"), dist.alias(f"{c}__d")]
-        if num:
-            v = x.cast("double")
-            aggs += [F.sum((v == 0).cast("int")).alias(f"{c}__z"),
-                     F.sum((v < 0).cast("int")).alias(f"{c}__neg"),
-                     F.min(v).alias(f"{c}__min"), F.max(v).alias(f"{c}__max"),
-                     F.avg(v).alias(f"{c}__mean"), F.stddev_samp(v).alias(f"{c}__std")]
-    a = df.agg(*aggs)
-    names = ["Column", "Type", "Count", "Distinct", "Zeros", "Negatives", "Min", "Max",
-             "Mean", "Std"]
-    rows = []
-    nul_d, nul_l = F.lit(None).cast("double"), F.lit(None).cast("bigint")
-    for c in cols:
-        num = isinstance(types[c], NumericType)
-        rows.append([F.lit(c), F.lit(types[c].simpleString()), F.col(f"{c}__n").cast("bigint"),
-                     F.col(f"{c}__d").cast("bigint"),
-                     F.coalesce(F.col(f"{c}__z"), F.lit(0)).cast("bigint") if num else nul_l,
-                     F.coalesce(F.col(f"{c}__neg"), F.lit(0)).cast("bigint") if num else nul_l,
-                     F.col(f"{c}__min") if num else nul_d, F.col(f"{c}__max") if num else nul_d,
-                     sig(F.col(f"{c}__mean")) if num else nul_d,
-                     sig(F.col(f"{c}__std")) if num else nul_d])
-    arr = F.array(*[F.struct(*[v.alias(n) for n, v in zip(names, r)]) for r in rows])
-    out = a.select(F.col("_rows"), F.inline(arr))
+    nul = F.lit(None).cast("double")
+    arr = F.array(*[F.struct(
+        F.lit(c).alias("Column"), F.lit(types[c].simpleString()).alias("Type"),
+        F.lit(isinstance(types[c], NumericType)).alias("_isnum"),
+        (F.col(c).cast("double") if isinstance(types[c], NumericType) else nul).alias("_v"),
+        F.col(c).cast("string").alias("_t")) for c in cols])
+    long = df.select(F.inline(arr))
+    dist = F.count_distinct("_t") if exact else F.approx_count_distinct("_t")
+    num = F.col("_v")
+    a = long.groupBy("Column", "Type", "_isnum").agg(
+        F.count(F.lit(1)).alias("_rows"), F.count("_t").alias("Count"), dist.alias("Distinct"),
+        F.sum((num == 0).cast("int")).alias("Zeros"), F.sum((num < 0).cast("int")).alias("Negatives"),
+        F.min(num).alias("Min"), F.max(num).alias("Max"), F.avg(num).alias("_mean"),
+        F.stddev_samp(num).alias("_std"), F.count(num).alias("_nn"))
+    isnum = F.col("_isnum")
     nulls = (F.col("_rows") - F.col("Count")).cast("bigint")
     pct = F.bround(F.try_divide(nulls.cast("double"), F.col("_rows").cast("double")) * 100.0, 2)
-    return out.select("Column", "Type", "Count", nulls.alias("Nulls"), pct.alias("Null_pct"),
-                      *names[3:])
+    return a.select(
+        "Column", "Type", F.col("Count").cast("bigint").alias("Count"), nulls.alias("Nulls"),
+        pct.alias("Null_pct"), F.col("Distinct").cast("bigint").alias("Distinct"),
+        F.when(isnum, F.coalesce(F.col("Zeros"), F.lit(0))).cast("bigint").alias("Zeros"),
+        F.when(isnum, F.coalesce(F.col("Negatives"), F.lit(0))).cast("bigint").alias("Negatives"),
+        "Min", "Max", sig(F.col("_mean")).alias("Mean"), sig(F.col("_std")).alias("Std"))
 
 
 def histogram(df: DataFrame, columns: list[str] | None = None, bins: int = 10) -> DataFrame:

@@ -81,7 +81,7 @@ def pipeline_audit(spark, d):
 @query
 def join_fanout(spark, d):
     """The 20 (notice, lot) keys with the largest merge fan-out."""
-    p = pl.notice_matched(pl.prepared(spark, d))
+    p = pl.stage02(spark, d)
     return merge.join_fanout(p.cfc, p.can, 20)
 
 

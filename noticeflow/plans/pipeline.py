@@ -67,6 +67,28 @@ def cleaned(ml: DataFrame, quantile_method: str = "ranked") -> DataFrame:
     return df
 
 
+def _stage(spark: SparkSession, name: str, sf_dir: str, build) -> Prepared:
+    def mat():
+        p = build()
+        return Prepared(materialize(p.cfc), materialize(p.can))
+    return fixtures.memo(spark, (name, sf_dir), mat)
+
+
+def stage01(spark: SparkSession, sf_dir: str) -> Prepared:
+    """Stage 01 tables, written once per session (reliable checkpoint)."""
+    return _stage(spark, "stage01", sf_dir, lambda: prepared(spark, sf_dir))
+
+
+def stage02(spark: SparkSession, sf_dir: str) -> Prepared:
+    """Stage 02 (notice-matched) tables, written once per session."""
+    return _stage(spark, "stage02", sf_dir, lambda: notice_matched(stage01(spark, sf_dir)))
+
+
+def stage03(spark: SparkSession, sf_dir: str) -> Prepared:
+    """Stage 03 (lot-matched) tables, written once per session."""
+    return _stage(spark, "stage03", sf_dir, lambda: lot_matched(stage02(spark, sf_dir)))
+
+
 def golden_table(spark: SparkSession, sf_dir: str, clean_stage: bool = True) -> DataFrame:
     """01 -> 05 as one lazy plan (04 only when ``clean_stage`` is false)."""
     ml = combined(lot_matched(notice_matched(prepared(spark, sf_dir))))

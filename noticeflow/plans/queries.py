@@ -152,13 +152,13 @@ def normalized_ids(spark, d):
 @query
 def prepared_cfc(spark, d):
     """Stage 01 output, contract notices."""
-    return pl.prepared(spark, d).cfc
+    return pl.stage01(spark, d).cfc
 
 
 @query
 def prepared_can(spark, d):
     """Stage 01 output, award notices."""
-    return pl.prepared(spark, d).can
+    return pl.stage01(spark, d).can
 
 
 @query
@@ -175,7 +175,7 @@ def cpv_cardinality(spark, d):
 # ---------------------------------------------------------------- stage 02
 
 def _tagged_notice(spark, d, side):
-    p = pl.prepared(spark, d)
+    p = pl.stage01(spark, d)
     return (match.tag_by_notice(p.cfc, "cfc", p.can) if side == "cfc"
             else match.tag_by_notice(p.can, "can", p.cfc))
 
@@ -211,7 +211,7 @@ def metric_bias(spark, d):
 
 @query
 def non_award_rate(spark, d):
-    p = pl.prepared(spark, d)
+    p = pl.stage01(spark, d)
     return bias.analyze_non_award_rates(match.split_by_notice(p.cfc, p.can).can_orphans)
 
 
@@ -225,46 +225,46 @@ def _split_counts(s: match.Split, shared: DataFrame) -> DataFrame:
 
 @query
 def notice_split_counts(spark, d):
-    p = pl.prepared(spark, d)
+    p = pl.stage01(spark, d)
     return _split_counts(match.split_by_notice(p.cfc, p.can), match.notice_keys(p.cfc, p.can))
 
 
 @query
 def matched_notices(spark, d):
     """J3 after J1: the notice-matched award notices."""
-    return pl.notice_matched(pl.prepared(spark, d)).can
+    return pl.stage02(spark, d).can
 
 
 # ---------------------------------------------------------------- stage 03
 
 @query
 def lot_split_counts(spark, d):
-    p = pl.notice_matched(pl.prepared(spark, d))
+    p = pl.stage02(spark, d)
     return _split_counts(match.split_by_lot(p.cfc, p.can), match.lot_keys(p.cfc, p.can))
 
 
 @query
 def matched_lots(spark, d):
     """J3 after J2: the lot-matched contract notices."""
-    return pl.lot_matched(pl.notice_matched(pl.prepared(spark, d))).cfc
+    return pl.stage03(spark, d).cfc
 
 
 @query
 def cross_orphans(spark, d):
-    p = pl.notice_matched(pl.prepared(spark, d))
+    p = pl.stage02(spark, d)
     s = match.split_by_lot(p.cfc, p.can)
     return bias.analyze_cross_dataset_orphans(s.cfc_orphans, s.can_orphans)
 
 
 @query
 def partial_success(spark, d):
-    p = pl.notice_matched(pl.prepared(spark, d))
+    p = pl.stage02(spark, d)
     return bias.analyze_partial_notice_success(match.tag_by_lot(p.cfc, "cfc", p.can))
 
 
 @query
 def lot_metric_bias(spark, d):
-    p = pl.notice_matched(pl.prepared(spark, d))
+    p = pl.stage02(spark, d)
     return bias.compare_metrics(match.tag_by_lot(p.cfc, "cfc", p.can),
                                 ["TOTAL_VALUE_EUR", "DURATION"])
 
@@ -272,7 +272,7 @@ def lot_metric_bias(spark, d):
 # ---------------------------------------------------------------- stage 04
 
 def _lots(spark, d):
-    return pl.lot_matched(pl.notice_matched(pl.prepared(spark, d)))
+    return pl.stage03(spark, d)
 
 
 @query
