@@ -20,8 +20,10 @@ Plan, with no row cap and no pair enumeration inside a group:
    (an equi-join on blocks of ``floor(sqrt(d)) + 1`` cells and the 3^d
    neighbouring blocks); a pair whose farthest corners are within ``eps``
    counts by weight, only the remaining *partial* pairs compare points;
-4. core cells are linked by min-label propagation (one join + aggregate per
-   round, reliable checkpoint per round) until no label changes.
+4. core cells are linked by min-label propagation with pointer jumping
+   (a cell takes its label's label), so chains converge in about
+   log(diameter) rounds; a reliable checkpoint per round, until no label
+   changes.
 """
 
 from __future__ import annotations
@@ -107,18 +109,24 @@ def dbscan(df: DataFrame, pos: str, vec: str, dim: int, eps: float = 0.5,
                   .select(F.col("_fc").alias("_a"), "_b")
     edges = materialize(e_full.unionByName(e_part).distinct())
 
-    lab = materialize(ccell)
+    # node id of a core cell = its smallest core site; labels are node ids
+    lab = materialize(ccell.select("_fc", F.col("_lab").alias("_id"), "_lab"))
     for _ in range(max_rounds):
-        nb = edges.join(lab.withColumnRenamed("_fc", "_b").withColumnRenamed("_lab", "_nl"), "_b") \
+        nb = edges.join(lab.select(F.col("_fc").alias("_b"), F.col("_lab").alias("_nl")), "_b") \
                   .groupBy(F.col("_a").alias("_fc")).agg(F.min("_nl").alias("_nl"))
-        new = lab.join(nb, "_fc", "left") \
-                 .select("_fc", F.least("_lab", F.coalesce("_nl", "_lab")).alias("_lab"),
-                         (F.col("_nl") < F.col("_lab")).alias("_chg"))
-        new = materialize(new)
+        hooked = lab.join(nb, "_fc", "left") \
+                    .select("_fc", "_id", F.least("_lab", F.coalesce("_nl", "_lab")).alias("_lab"),
+                            F.coalesce(F.col("_nl") < F.col("_lab"), F.lit(False)).alias("_chg"))
+        # pointer jumping: take the label of the node named by the label
+        ref = hooked.select(F.col("_id").alias("_lab"), F.col("_lab").alias("_ll"))
+        new = materialize(hooked.join(ref, "_lab", "left").select(
+            "_fc", "_id", F.least("_lab", F.coalesce("_ll", "_lab")).alias("_lab"),
+            (F.col("_chg") | F.coalesce(F.col("_ll") < F.col("_lab"), F.lit(False))).alias("_chg")))
         changed = new.where("_chg").limit(1).count()
         lab = new.drop("_chg")
         if changed == 0:
             break
+    lab = lab.select("_fc", "_lab")
 
     ids = ordered.global_index(lab.select("_lab").distinct(), ["_lab"], idx="_cid")
     cell_cid = lab.join(ids, "_lab").select("_fc", "_cid")

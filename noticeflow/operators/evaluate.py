@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from noticeflow.operators import ordered
 from noticeflow.operators.profile import sig
+from noticeflow.session import materialize
 
 
 def regression_metrics(df: DataFrame, y: str, p: str, n_features: int,
@@ -160,7 +161,9 @@ def _centroids(points: DataFrame, label: str, vec: str) -> DataFrame:
     per = ex.groupBy("_l", "_i").agg(F.avg(F.col("_x").cast("double")).alias("_m"))
     cent = per.groupBy("_l").agg(F.sort_array(F.collect_list(F.struct("_i", "_m"))).alias("_c"))
     n = points.groupBy(F.col(label).alias("_l")).agg(F.count(F.lit(1)).alias("_n"))
-    return cent.select("_l", F.transform("_c", lambda s: s["_m"]).alias("_c")).join(n, "_l")
+    # k rows, read several times: written once so the points are scanned once
+    return materialize(cent.select("_l", F.transform("_c", lambda s: s["_m"]).alias("_c"))
+                       .join(n, "_l"))
 
 
 def _sqdist(a: Column, b: Column) -> Column:

@@ -215,18 +215,23 @@ def non_award_rate(spark, d):
     return bias.analyze_non_award_rates(match.split_by_notice(p.cfc, p.can).can_orphans)
 
 
-def _split_counts(s: match.Split, shared: DataFrame) -> DataFrame:
-    def c(df, name):
-        return df.agg(F.count(F.lit(1)).alias("Rows")).select(F.lit(name).alias("Frame"), "Rows")
-    return (c(s.cfc_matched, "cfc_matched").unionByName(c(s.cfc_orphans, "cfc_orphans"))
-            .unionByName(c(s.can_matched, "can_matched")).unionByName(c(s.can_orphans, "can_orphans"))
-            .unionByName(c(shared, "shared_keys")))
+def _split_counts(tagged_cfc: DataFrame, tagged_can: DataFrame, shared: DataFrame) -> DataFrame:
+    """Matched/orphan row counts of both sides from one tagged pass each."""
+    def side(t, name):
+        a = t.agg(F.sum(F.col("_matched").cast("int")).cast("bigint").alias("m"),
+                  F.sum((~F.col("_matched")).cast("int")).cast("bigint").alias("o"))
+        return a.select(F.inline(F.array(
+            F.struct(F.lit(f"{name}_matched").alias("Frame"), F.coalesce("m", F.lit(0)).alias("Rows")),
+            F.struct(F.lit(f"{name}_orphans").alias("Frame"), F.coalesce("o", F.lit(0)).alias("Rows")))))
+    sk = shared.agg(F.count(F.lit(1)).alias("Rows")).select(F.lit("shared_keys").alias("Frame"), "Rows")
+    return side(tagged_cfc, "cfc").unionByName(side(tagged_can, "can")).unionByName(sk)
 
 
 @query
 def notice_split_counts(spark, d):
     p = pl.stage01(spark, d)
-    return _split_counts(match.split_by_notice(p.cfc, p.can), match.notice_keys(p.cfc, p.can))
+    return _split_counts(match.tag_by_notice(p.cfc, "cfc", p.can),
+                         match.tag_by_notice(p.can, "can", p.cfc), match.notice_keys(p.cfc, p.can))
 
 
 @query
@@ -240,7 +245,8 @@ def matched_notices(spark, d):
 @query
 def lot_split_counts(spark, d):
     p = pl.stage02(spark, d)
-    return _split_counts(match.split_by_lot(p.cfc, p.can), match.lot_keys(p.cfc, p.can))
+    return _split_counts(match.tag_by_lot(p.cfc, "cfc", p.can),
+                         match.tag_by_lot(p.can, "can", p.cfc), match.lot_keys(p.cfc, p.can))
 
 
 @query
