@@ -45,14 +45,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used
     as is. Only when it is unset (local tests) do we create a scratch folder.
     """
-    sc = spark.sparkContext
-    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    d = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # no SparkContext access: the configured folder is used
+        sc = None
+    if sc is not None and not d:
+        d = sc.getCheckpointDir()
     if not d:
         d = tempfile.mkdtemp(prefix="noticeflow-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", d)
-    if not sc.getCheckpointDir():
+    if sc is not None and not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
-    return sc.getCheckpointDir() or d
+    return (sc.getCheckpointDir() if sc is not None else None) or d
 
 
 def stage_dir(spark: SparkSession, name: str) -> str:

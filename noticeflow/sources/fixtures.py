@@ -31,8 +31,12 @@ def spread(df: DataFrame) -> DataFrame:
     A small single-row-group Parquet file reads as one split, and every
     broadcast join and projection above it would then run in one task. Big
     inputs already have many splits and are left alone (no extra shuffle)."""
-    n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+    try:
+        n = df.sparkSession.sparkContext.defaultParallelism
+        small = df.rdd.getNumPartitions() < n
+    except Exception:  # sessions without RDD access: leave the plan as it is
+        return df
+    return df.repartition(n) if small else df
 
 
 def _base(spark: SparkSession, sf_dir: str, status: str) -> DataFrame:
