@@ -38,18 +38,21 @@ from noticeflow.operators import ordered
 from noticeflow.session import materialize
 
 
-def _sq(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0),
-                       lambda acc, v: acc + v)
+# The dimension is known when the plan is built, so distances are written as
+# explicit per-index arithmetic: whole-stage codegen compiles it, whereas
+# higher-order lambdas would be interpreted for every candidate pair.
 
+def _sq(a: Column, b: Column, dim: int) -> Column:
+    return sum(((a[i] - b[i]) * (a[i] - b[i]) for i in range(1, dim)),
+               (a[0] - b[0]) * (a[0] - b[0]))
 
-def _box(a: Column, b: Column, far: bool) -> Column:
+
+def _box(a: Column, b: Column, dim: int, far: bool) -> Column:
     """Squared min (``far=False``) or max distance between two cells, in cell units."""
-    if far:
-        g = F.zip_with(a, b, lambda x, y: (F.abs(x - y) + 1).cast("double"))
-    else:
-        g = F.zip_with(a, b, lambda x, y: F.greatest(F.abs(x - y) - 1, F.lit(0)).cast("double"))
-    return F.aggregate(g, F.lit(0.0), lambda acc, v: acc + v * v)
+    def g(i):
+        d = F.abs(a[i] - b[i])
+        return (d + 1) if far else F.greatest(d - 1, F.lit(0))
+    return sum((g(i) * g(i) for i in range(1, dim)), g(0) * g(0)).cast("double")
 
 
 def dbscan(df: DataFrame, pos: str, vec: str, dim: int, eps: float = 0.5,
@@ -61,22 +64,23 @@ def dbscan(df: DataFrame, pos: str, vec: str, dim: int, eps: float = 0.5,
     eps2 = eps * eps
     lim = (eps / s) ** 2 + 1e-9  # eps^2 in squared cell units
 
-    v = F.transform(F.col(vec), lambda x: x.cast("double"))
+    v = F.array(*[F.col(vec)[i].cast("double") for i in range(dim)])
     pts = df.select(F.col(pos).alias("_pos"), v.alias("_vec"))
     sites = pts.groupBy("_vec").agg(F.count(F.lit(1)).alias("_w"), F.min("_pos").alias("_sid"))
-    sites = sites.withColumn("_fc", F.transform("_vec", lambda x: F.floor(x / s))) \
-                 .withColumn("_blk", F.transform("_fc", lambda k: F.floor(k / r)))
+    sites = sites.withColumn("_fc", F.array(*[F.floor(F.col("_vec")[i] / s) for i in range(dim)])) \
+                 .withColumn("_blk", F.array(*[F.floor(F.col("_fc")[i] / r) for i in range(dim)]))
     sites = materialize(sites)
 
     cells = sites.groupBy("_fc", "_blk").agg(F.sum("_w").alias("_W"))
     offsets = F.array(*[F.array(*[F.lit(o) for o in off])
                         for off in itertools.product((-1, 0, 1), repeat=dim)])
     probe = cells.select(F.col("_fc").alias("_a"), F.explode(offsets).alias("_off"), "_blk") \
-                 .select("_a", F.zip_with("_blk", "_off", lambda x, y: x + y).alias("_blk"))
+                 .select("_a", F.array(*[F.col("_blk")[i] + F.col("_off")[i]
+                                         for i in range(dim)]).alias("_blk"))
     other = cells.select(F.col("_fc").alias("_b"), "_blk", F.col("_W").alias("_Wb"))
     pairs = probe.join(other, "_blk").where(F.col("_a") != F.col("_b")) \
-                 .where(_box(F.col("_a"), F.col("_b"), False) <= lim) \
-                 .withColumn("_full", _box(F.col("_a"), F.col("_b"), True) <= lim) \
+                 .where(_box(F.col("_a"), F.col("_b"), dim, False) <= lim) \
+                 .withColumn("_full", _box(F.col("_a"), F.col("_b"), dim, True) <= lim) \
                  .select("_a", "_b", "_Wb", "_full")
     pairs = materialize(pairs)
 
@@ -87,7 +91,7 @@ def dbscan(df: DataFrame, pos: str, vec: str, dim: int, eps: float = 0.5,
     sb = sites.select(F.col("_sid").alias("_sidb"), F.col("_fc").alias("_b"),
                       F.col("_vec").alias("_vb"), F.col("_w").alias("_wb"))
     part = pairs.where(~F.col("_full")).select(F.col("_a").alias("_fc"), "_b")
-    close = sa.join(part, "_fc").join(sb, "_b").where(_sq(F.col("_va"), F.col("_vb")) <= eps2) \
+    close = sa.join(part, "_fc").join(sb, "_b").where(_sq(F.col("_va"), F.col("_vb"), dim) <= eps2) \
               .select("_sid", "_fc", "_sidb", "_b", "_wb")
     close = materialize(close)
     pw = close.groupBy("_sid").agg(F.sum("_wb").alias("_pw"))
