@@ -166,9 +166,19 @@ def _centroids(points: DataFrame, label: str, vec: str) -> DataFrame:
                        .join(n, "_l"))
 
 
-def _sqdist(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)),
-                       F.lit(0.0), lambda acc, v: acc + v)
+def _dim(cent: DataFrame) -> int:
+    """Vector length, read from the materialised k-row centroid table (no
+    extra pass over the points): lets distances be written per index."""
+    return int(cent.select(F.max(F.size("_c"))).first()[0] or 0)
+
+
+def _sqdist(a: Column, b: Column, dim: int) -> Column:
+    """Squared distance as explicit per-index arithmetic (codegen-compiled,
+    unlike a higher-order lambda), summed left to right."""
+    def t(i):
+        d = a[i].cast("double") - b[i].cast("double")
+        return d * d
+    return sum((t(i) for i in range(1, dim)), t(0))
 
 
 def davies_bouldin(df: DataFrame, label: str, vec: str) -> DataFrame:
@@ -178,12 +188,13 @@ def davies_bouldin(df: DataFrame, label: str, vec: str) -> DataFrame:
     points; the pairwise part runs over the k x k centroid table only."""
     pts = df.where(F.col(label) != -1)
     cent = _centroids(pts, label, vec)
+    dim = _dim(cent)
     j = pts.join(F.broadcast(cent), pts[label] == cent["_l"])
-    s = j.groupBy("_l").agg(F.avg(F.sqrt(_sqdist(F.col(vec), F.col("_c")))).alias("_s"))
+    s = j.groupBy("_l").agg(F.avg(F.sqrt(_sqdist(F.col(vec), F.col("_c"), dim))).alias("_s"))
     c2 = cent.join(s, "_l")
     a, b = c2.alias("a"), c2.alias("b")
     pair = a.crossJoin(F.broadcast(b)).where(F.col("a._l") != F.col("b._l"))  # k^2 rows
-    ratio = (F.col("a._s") + F.col("b._s")) / F.sqrt(_sqdist(F.col("a._c"), F.col("b._c")))
+    ratio = (F.col("a._s") + F.col("b._s")) / F.sqrt(_sqdist(F.col("a._c"), F.col("b._c"), dim))
     worst = pair.groupBy(F.col("a._l").alias("_l")).agg(F.max(ratio).alias("_r"))
     return worst.agg(sig(F.avg("_r")).alias("Davies_Bouldin"))
 
@@ -192,14 +203,16 @@ def calinski_harabasz(df: DataFrame, label: str, vec: str) -> DataFrame:
     """Calinski-Harabasz index on the full table (noise removed)."""
     pts = df.where(F.col(label) != -1)
     cent = _centroids(pts, label, vec)
+    dim = _dim(cent)
     overall = pts.select(F.posexplode(vec).alias("_i", "_x")).groupBy("_i") \
                  .agg(F.avg(F.col("_x").cast("double")).alias("_m")) \
                  .agg(F.sort_array(F.collect_list(F.struct("_i", "_m"))).alias("_g")) \
                  .select(F.transform("_g", lambda s: s["_m"]).alias("_g"))
     j = pts.join(F.broadcast(cent), pts[label] == cent["_l"])
-    w = j.agg(F.sum(_sqdist(F.col(vec), F.col("_c"))).alias("_w"), F.count(F.lit(1)).alias("_n"))
+    w = j.agg(F.sum(_sqdist(F.col(vec), F.col("_c"), dim)).alias("_w"),
+              F.count(F.lit(1)).alias("_n"))
     bt = cent.crossJoin(F.broadcast(overall)).agg(
-        F.sum(F.col("_n") * _sqdist(F.col("_c"), F.col("_g"))).alias("_b"),
+        F.sum(F.col("_n") * _sqdist(F.col("_c"), F.col("_g"), dim)).alias("_b"),
         F.count(F.lit(1)).alias("_k"))
     r = w.crossJoin(bt)
     ch = (F.col("_b") / (F.col("_k") - 1)) / (F.col("_w") / (F.col("_n") - F.col("_k")))
