@@ -26,8 +26,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Longest list of cached chunks in a Python worker; beyond it the cache starts anew.
-CACHE_ENTRIES = 150_000
+#: Most chunks and pieces that a Python worker keeps; beyond it the cache starts anew.
+CACHE_ENTRIES = 400_000
 OUT_SCHEMA = "{id} {kind}, n_tokens long, ids binary, decoded string"
 
 _space = regex.compile(r"\p{White_Space}+")
@@ -43,37 +43,45 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in keep else chr(next(spare)) for b in range(256)]
 
 
+#: Above every packed pair: no merge.
+NONE = 1 << 62
+#: Bits of an id in a packed pair.
+ID_BITS = 20
+ID_MASK = (1 << ID_BITS) - 1
+
+
 class PairTree:
-    """Minimum over (rank, position) of all pairs of a word."""
-
-    NONE = 1 << 62
-
-    def __init__(self, ranks: list[int]):
-        self.width = 1 << max(0, len(ranks) - 1).bit_length()
-        self.shift = self.width.bit_length()
-        row = [self.NONE if r < 0 else r << self.shift | i for i, r in enumerate(ranks)]
-        row += [self.NONE] * (self.width - len(row))
-        self.nodes = [self.NONE] * self.width + row
-        for k in range(self.width - 1, 0, -1):
-            a, b = self.nodes[2 * k], self.nodes[2 * k + 1]
-            self.nodes[k] = a if a < b else b
-
-    def root(self) -> int:
-        """Position of the leftmost pair of lowest rank, or -1."""
-        top = self.nodes[1]
-        return -1 if top == self.NONE else top & (1 << self.shift) - 1
-
-    def put(self, i: int, rank: int) -> None:
-        nodes, k = self.nodes, self.width + i
-        nodes[k] = self.NONE if rank < 0 else rank << self.shift | i
-        k >>= 1
-        while k:
+    """Minimum over the pairs of a word, in a heap-ordered array.
+
+    A leaf is (rank, id of the merged symbol, position) packed in this order
+    into one integer, so the root is the leftmost pair of lowest rank.
+    """
+
+    def __init__(self, pairs: list[int]):
+        n = len(pairs)
+        self.width = width = 1 << (n - 1).bit_length()
+        self.shift = width.bit_length()
+        shift = self.shift
+        self.nodes = nodes = [NONE] * width + [NONE if p == NONE else p << shift | i for i, p in enumerate(pairs)] + [NONE] * (width - n)
+        for k in range(width - 1, 0, -1):
             a, b = nodes[2 * k], nodes[2 * k + 1]
-            low = a if a < b else b
-            if nodes[k] == low:
-                break
-            nodes[k] = low
+            nodes[k] = a if a < b else b
+
+    def put(self, i: int, pair: int) -> None:
+        """Point update: O(log n), or less once a node keeps its minimum."""
+        nodes, k = self.nodes, self.width + i
+        new = NONE if pair == NONE else pair << self.shift | i
+        if nodes[k] == new:
+            return
+        nodes[k] = new
+        while k > 1:
+            other = nodes[k ^ 1]
+            if other < new:
+                new = other
             k >>= 1
+            if nodes[k] == new:
+                return
+            nodes[k] = new
 
 
 class Bpe:
@@ -89,10 +97,10 @@ class Bpe:
         self.tokens = [""] * (1 + max([*self.vocab.values(), *self.special.values()]))
         for t, i in [*self.vocab.items(), *self.special.items()]:
             self.tokens[i] = t
-        self.pairs: dict[tuple[int, int], tuple[int, int]] = {}
+        self.pairs: dict[int, int] = {}
         for rank, m in enumerate(model["merges"]):
             a, b = m if isinstance(m, list) else m.split(" ")
-            self.pairs[self.vocab[a], self.vocab[b]] = rank, self.vocab[a + b]
+            self.pairs[self.vocab[a] << ID_BITS | self.vocab[b]] = rank << ID_BITS | self.vocab[a + b]
         self.symbols = byte_symbols()
         alike = sorted(map(regex.escape, self.special), key=len, reverse=True)
         self.cut = regex.compile(f"({'|'.join(alike)})") if alike else None
@@ -107,37 +115,50 @@ class Bpe:
         n = len(ids)
         if n < 2:
             return ids
-        pairs = self.pairs
-        none = (-1, -1)
-        tree = PairTree([pairs.get(p, none)[0] for p in zip(ids, ids[1:])])
-        after = list(range(1, n + 1))
-        before = list(range(-1, n - 1))
-        while (i := tree.root()) >= 0:
+        pair = self.pairs.get
+        tree = PairTree([pair(a << ID_BITS | b, NONE) for a, b in zip(ids, ids[1:])])
+        nodes, put = tree.nodes, tree.put
+        shift, place = tree.shift, (1 << tree.shift) - 1
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        while (top := nodes[1]) != NONE:
+            i = top & place
+            ids[i] = now = top >> shift & ID_MASK
             j = after[i]
-            ids[i] = pairs[ids[i], ids[j]][1]
             ids[j] = -1
             k = after[i] = after[j]
-            if j < n - 1:
-                tree.put(j, -1)
             if k < n:
                 before[k] = i
-                tree.put(i, pairs.get((ids[i], ids[k]), none)[0])
+                put(j, NONE)
+                put(i, pair(now << ID_BITS | ids[k], NONE))
             else:
-                tree.put(i, -1)
+                put(i, NONE)
             h = before[i]
             if h >= 0:
-                tree.put(h, pairs.get((ids[h], ids[i]), none)[0])
+                put(h, pair(ids[h] << ID_BITS | now, NONE))
         return [x for x in ids if x >= 0]
 
+    def piece(self, text: str) -> bytes:
+        """Packed ids of one piece, from the cache if it is there."""
+        out = self.cache.get(text)
+        if out is None:
+            out = np.array(self.word(text), "<u4").tobytes()
+            self.keep(text, out)
+        return out
+
     def chunk(self, text: str) -> bytes:
         """Packed ids of a text without white space."""
-        ids = [x for piece in _pieces.findall(text) for x in self.word(piece)]
-        out = np.array(ids, "<u4").tobytes()
+        pieces = _pieces.findall(text)
+        if len(pieces) == 1 and pieces[0] == text:
+            return self.piece(text)
+        out = b"".join(map(self.piece, pieces))
+        self.keep(text, out)
+        return out
+
+    def keep(self, text: str, ids: bytes) -> None:
         if len(self.cache) >= CACHE_ENTRIES:
             self.cache.clear()
         if len(text) <= 64:
-            self.cache[text] = out
-        return out
+            self.cache[text] = ids
 
     def plain(self, text: str) -> bytes:
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()

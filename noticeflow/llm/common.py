@@ -38,3 +38,25 @@ def words(text: Column) -> Column:
     trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), f"^[{SPACE}]+|[{SPACE}]+$", "")
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, f"[{SPACE}]+"))
 
+
+
+def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """About ``rows`` rows (all, if there are fewer), chosen by a hash of ``key``.
+
+    Two narrow passes: a count and a filter on the hash; no sort, no merge on
+    one task. Only fits of classifiers use it.
+    """
+    n = df.count()
+    if n <= rows:
+        return df
+    return df.where(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) < int(2**32 * rows / n))
+
+
+def settled(df: DataFrame, carried: list[str]) -> DataFrame:
+    """The same rows, with all but ``carried`` behind a generator.
+
+    A later filter on a costly column is then not pushed below it, where the
+    optimizer would spell the column's whole expression out once more.
+    """
+    made = [c for c in df.columns if c not in carried]
+    return df.select(*carried, F.inline(F.array(F.struct(*made))))
