@@ -112,12 +112,16 @@ def _all(literals: tuple[Literal, ...] | list[Literal]) -> Column:
     return out
 
 
+def _below(x: Column):
+    return lambda cut: cut < x
+
+
 def _best_literal(rows: DataFrame, limits: dict[str, list[float]]) -> tuple[Literal | None, int, int]:
     """The literal of the best gain for bad rows, from one aggregate of (feature, bin) counts."""
     binned = []
     for name, cuts in limits.items():
         x = F.col(f"features.{name}")
-        place = F.size(F.filter(F.lit(cuts).cast("array<double>"), lambda c, x=x: c < x))
+        place = F.size(F.filter(F.lit(cuts).cast("array<double>"), _below(x)))
         binned.append(F.struct(F.lit(name).alias("feature"), place.alias("bin")))
     counts = (rows.select("bad", F.explode(F.array(*binned)).alias("b")).groupBy("b.feature", "b.bin")
               .agg(F.sum("bad").alias("p"), F.sum(1 - F.col("bad")).alias("n")).collect())
