@@ -112,6 +112,11 @@ def _all(literals: tuple[Literal, ...] | list[Literal]) -> Column:
     return out
 
 
+def _between(values: list[float]) -> list[float]:
+    """Thresholds halfway between neighbouring quantiles, so that a rule does not hug one class."""
+    return [(a + b) / 2 for a, b in zip(values, values[1:])]
+
+
 def _below(x: Column):
     return lambda cut: cut < x
 
@@ -159,7 +164,7 @@ def learn(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col
     probes = [i / BINS for i in range(1, BINS)]
     edges = rows.select(*[F.percentile_approx(F.when(F.col("bad") == bad, F.col(f"features.{f}")), probes, 2000).alias(f"{f}_{bad}")
                           for f in FEATURES for bad in (0, 1)]).first()
-    limits = {f: sorted({*(edges[f"{f}_0"] or []), *(edges[f"{f}_1"] or [])}) for f in FEATURES}
+    limits = {f: _between(sorted({*(edges[f"{f}_0"] or []), *(edges[f"{f}_1"] or [])})) for f in FEATURES}
     rules: list[tuple[Literal, ...]] = []
     left = rows
     for _ in range(MAX_RULES):

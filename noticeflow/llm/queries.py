@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from noticeflow.llm import bpe, quality
+from noticeflow.llm import bpe, jaccard, quality
 from noticeflow.llm.common import documents
 
 
@@ -15,12 +15,17 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.encode_decode(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(documents(spark, sf_dir), size=4, percent=85)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(quality.judge(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_quality_rules": op7_quality_rules,
 }
 ORACLES: dict[str, str] = {}
