@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,13 +16,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it from there.
+def checkpoint_root(spark: SparkSession) -> str:
+    """This application's folder below ``spark.checkpoint.dir``, which all executors share.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only a local master
-    without that setting (tests) gets a scratch folder.
+    Only a local master without that setting (tests) gets a scratch folder.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         path = sc.getConf().get("spark.checkpoint.dir")
@@ -30,7 +29,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             path = tempfile.mkdtemp(prefix="llm-checkpoint-")
         sc.setCheckpointDir(path)
-    return df.checkpoint()
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet to the shared checkpoint folder and read it from there.
+
+    The rows survive lost executors, later readers take single columns, and the
+    plan of a loop starts anew (a checkpointed plan would keep the constraints
+    of all earlier rounds).
+    """
+    path = f"{checkpoint_root(df.sparkSession)}/llm/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def words(text: Column) -> Column:

@@ -210,5 +210,14 @@ def judge(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None) ->
     return statistics(docs, keep=keep).withColumn("rule", verdict(rules)).withColumn("kept", F.col("rule").isNull())
 
 
+def passing(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the list keeps, with their own columns."""
+    rules = fit(docs, labels)
+    whole = docs.select(F.struct(*docs.columns).alias("_row"))
+    whole = whole.select("_row", F.col("_row")[id_col].alias("_key"), F.col("_row")[text_col].alias("_t"))
+    kept = statistics(whole, "_key", "_t", keep=["_row"]).where(verdict(rules).isNull())
+    return kept.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
+
+
 def digest(judged: DataFrame) -> DataFrame:
     return judged.select("doc_id", *BASE, "base_failed", "kept", "rule")

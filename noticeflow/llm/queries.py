@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from noticeflow.llm import bpe, jaccard, quality
+from noticeflow.llm import bpe, decontam, jaccard, pii, quality
 from noticeflow.llm.common import documents
 
 
@@ -15,6 +15,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.encode_decode(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return pii.digest(pii.find(docs, pii.fit(docs), ["doc_id"]))
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(documents(spark, sf_dir), size=4, percent=85)
 
@@ -23,9 +28,16 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(quality.judge(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per contaminated document and benchmark item; clean documents have none."""
+    return decontam.matches(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_pii": op2_pii,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_quality_rules": op7_quality_rules,
+    "op8_decontamination": op8_decontamination,
 }
 ORACLES: dict[str, str] = {}
