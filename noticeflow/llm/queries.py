@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from noticeflow.llm import bpe, decontam, jaccard, pii, quality, shards, suffix, toxicity
+from noticeflow.llm import bpe, chat, decontam, jaccard, pii, quality, shards, suffix, toxicity
 from noticeflow.llm.common import documents
 
 
@@ -25,6 +25,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of neighbouring conversations, one row per turn of a prompt or a completion."""
+    return chat.format_pairs(chat.neighbours(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.assign(documents(spark, sf_dir), shards=40)
 
@@ -50,10 +55,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_pii": op2_pii,
     "op3_toxicity": op3_toxicity,
+    "op4_chat_formatting": op4_chat_formatting,
     "op5_sharding": op5_sharding,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_quality_rules": op7_quality_rules,
     "op8_decontamination": op8_decontamination,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_chat_formatting": chat.ORACLE}
