@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from noticeflow.functions.text import strip_ws
+from noticeflow.functions.text import as_number
 
 
 def cpv_prefix(c: Column, digits: int = 2) -> Column:
@@ -16,7 +16,7 @@ def cpv_prefix(c: Column, digits: int = 2) -> Column:
     non-negative number is kept as it is (the reference keeps its original
     text there too).
     """
-    num = strip_ws(c.cast("string")).try_cast("double")
+    num = as_number(c)
     integral = num.isNotNull() & (num == F.floor(num)) & (num >= 0) & (num < 1e18)
     code = num.cast("decimal(38,0)").cast("string")
     return F.when(integral, F.substring(F.lpad(code, 8, "0"), 1, digits)) \

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from noticeflow.functions.text import as_number
 from noticeflow.operators.consolidate import DISCONTINUED, UNSUCCESSFUL
 from noticeflow.operators.reduce import xsd_ok
 
@@ -36,7 +37,7 @@ def stage01_audit(raw: DataFrame, dataset: str) -> DataFrame:
                        if c in raw.columns])
     steps.append(("total_value_valid", last & val.isNotNull()))
     if "NUMBER_TENDERS_SME" in raw.columns:
-        nums = [F.col(c).cast("string").try_cast("double")
+        nums = [as_number(F.col(c))
                 for c in ("NUMBER_TENDERS_SME", "NUMBER_TENDERS_OTHER_EU", "NUMBER_TENDERS_NON_EU")
                 if c in raw.columns]
         has = F.coalesce(*nums).isNotNull()

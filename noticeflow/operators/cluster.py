@@ -16,6 +16,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from noticeflow.session import materialize
+
 
 def _relabel(df: DataFrame, centers: list, col: str) -> DataFrame:
     order = sorted(range(len(centers)), key=lambda i: tuple(centers[i]))
@@ -27,10 +29,12 @@ def _relabel(df: DataFrame, centers: list, col: str) -> DataFrame:
 def train_kmeans(df: DataFrame, k: int = 4, n_init: int = 15, seed: int = 42,
                  features: str = "features", out: str = "cluster"):
     """M3: best of ``n_init`` seeded k-means fits (lowest training cost)."""
-    data = df.cache()
+    data = materialize(df)
     best = None
     for i in range(n_init):
-        m = KMeans(k=k, seed=seed + i, featuresCol=features, predictionCol=out).fit(data)
+        m = KMeans(k=k, seed=seed + i, maxIter=300, featuresCol=features, predictionCol=out).fit(data)
+        if m.summary.numIter >= 300:
+            raise RuntimeError("k-means did not converge in 300 iterations")
         cost = m.summary.trainingCost
         if best is None or cost < best[0]:
             best = (cost, m)
@@ -62,10 +66,10 @@ def train_gmm(df: DataFrame, k: int = 4, n_init: int = 3, seed: int = 42,
               features: str = "features", out: str = "cluster"):
     """M6: best of ``n_init`` Gaussian mixtures (full covariance) by
     log-likelihood; hard label = most probable component."""
-    data = df.cache()
+    data = materialize(df)
     best = None
     for i in range(n_init):
-        m = GaussianMixture(k=k, seed=seed + i, featuresCol=features, predictionCol=out,
+        m = GaussianMixture(k=k, maxIter=100, seed=seed + i, featuresCol=features, predictionCol=out,
                             probabilityCol="_prob").fit(data)
         ll = m.summary.logLikelihood
         if best is None or ll > best[0]:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noticeflow.functions.flags import positive_flag
+from noticeflow.functions.text import as_number
 
 DISCONTINUED = "PROCUREMENT_DISCONTINUED"
 UNSUCCESSFUL = "PROCUREMENT_UNSUCCESSFUL"
@@ -45,7 +46,7 @@ def consolidate_tenders_and_non_awards(df: DataFrame) -> DataFrame:
         df = df.where(~F.col("INFO_ON_NON_AWARD").eqNullSafe(DISCONTINUED))
     parts = [c for c in TENDER_COLS if c in df.columns]
     if parts:
-        nums = [F.col(c).cast("string").try_cast("double") for c in parts]
+        nums = [as_number(F.col(c)) for c in parts]
         total = _fold(lambda a, b: a + b, [F.coalesce(n, F.lit(0.0)) for n in nums])
         df = df.withColumn("NUMBER_OF_TENDERS",
                            F.when(F.coalesce(*nums).isNotNull(), total)).drop(*parts)

@@ -56,7 +56,7 @@ def _box(a: Column, b: Column, dim: int, far: bool) -> Column:
 
 
 def dbscan(df: DataFrame, pos: str, vec: str, dim: int, eps: float = 0.5,
-           min_samples: int = 5, out: str = "cluster", max_rounds: int = 1000) -> DataFrame:
+           min_samples: int = 5, out: str = "cluster") -> DataFrame:
     """Label every row of ``df`` (``vec``: array<double> of length ``dim``;
     ``pos``: unique row position used for the cluster numbering)."""
     s = eps / math.sqrt(dim)
@@ -115,7 +115,7 @@ def dbscan(df: DataFrame, pos: str, vec: str, dim: int, eps: float = 0.5,
 
     # node id of a core cell = its smallest core site; labels are node ids
     lab = materialize(ccell.select("_fc", F.col("_lab").alias("_id"), "_lab"))
-    for _ in range(max_rounds):
+    while True:  # until no label changes
         nb = edges.join(lab.select(F.col("_fc").alias("_b"), F.col("_lab").alias("_nl")), "_b") \
                   .groupBy(F.col("_a").alias("_fc")).agg(F.min("_nl").alias("_nl"))
         hooked = lab.join(nb, "_fc", "left") \

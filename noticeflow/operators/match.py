@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noticeflow.functions.text import normalize_id
+from noticeflow.functions.text import as_text, id_key, normalize_id
 
 NO_LOT = "NO_LOT_DEFINED"
 CFC_NOTICE = "FUTURE_CAN_ID"
@@ -97,12 +97,22 @@ def tag_matched(df: DataFrame, key_exprs: list[Column], keys: DataFrame,
 
 # --- notice level (J1) -------------------------------------------------------
 
+def _dtype(df: DataFrame, c: str):
+    return df.schema[c].dataType
+
+
+def _notice(df: DataFrame, c: str) -> Column:
+    """The one key expression of all notice-level paths."""
+    return id_key(F.col(c), _dtype(df, c))
+
+
+
 def notice_keys(df_cfc: DataFrame, df_can: DataFrame) -> DataFrame:
-    """Ids present on both sides (raw, exact text)."""
+    """Ids present on both sides (exact text, or equal numbers)."""
     _require(df_cfc, [CFC_NOTICE])
     _require(df_can, [CAN_NOTICE])
-    a = _keys(df_cfc, {"_k0": F.col(CFC_NOTICE)})
-    b = _keys(df_can, {"_k0": F.col(CAN_NOTICE)})
+    a = _keys(df_cfc, {"_k0": _notice(df_cfc, CFC_NOTICE)})
+    b = _keys(df_can, {"_k0": _notice(df_can, CAN_NOTICE)})
     return a.intersect(b)
 
 
@@ -110,9 +120,9 @@ def split_by_notice(df_cfc: DataFrame, df_can: DataFrame) -> Split:
     """Split both tables into matched / orphan rows by raw notice id."""
     _require(df_cfc, [CFC_NOTICE])
     _require(df_can, [CAN_NOTICE])
-    can_ids = _keys(df_can, {"_k0": F.col(CAN_NOTICE)})
-    cfc_ids = _keys(df_cfc, {"_k0": F.col(CFC_NOTICE)})
-    kc, ka = [F.col(CFC_NOTICE)], [F.col(CAN_NOTICE)]
+    kc, ka = [_notice(df_cfc, CFC_NOTICE)], [_notice(df_can, CAN_NOTICE)]
+    can_ids = _keys(df_can, {"_k0": ka[0]})
+    cfc_ids = _keys(df_cfc, {"_k0": kc[0]})
     return Split(semi_anti(df_cfc, kc, can_ids, "left_semi"),
                  semi_anti(df_cfc, kc, can_ids, "left_anti"),
                  semi_anti(df_can, ka, cfc_ids, "left_semi"),
@@ -121,10 +131,6 @@ def split_by_notice(df_cfc: DataFrame, df_can: DataFrame) -> Split:
 
 # --- lot level (J2) ----------------------------------------------------------
 
-def _dtype(df: DataFrame, c: str):
-    return df.schema[c].dataType
-
-
 def lot_key_exprs(df: DataFrame, notice_col: str) -> list[Column]:
     """F15 + F16: normalised (notice, lot) pair; a null lot is NO_LOT_DEFINED.
 
@@ -133,7 +139,7 @@ def lot_key_exprs(df: DataFrame, notice_col: str) -> list[Column]:
     """
     _require(df, [notice_col, "ID_LOT"])
     notice = normalize_id(F.col(notice_col), _dtype(df, notice_col))
-    lot = normalize_id(F.coalesce(F.col("ID_LOT").cast("string"), F.lit(NO_LOT)))
+    lot = normalize_id(F.coalesce(as_text(F.col("ID_LOT"), _dtype(df, "ID_LOT")), F.lit(NO_LOT)))
     return [notice, lot]
 
 
@@ -158,7 +164,7 @@ def split_by_lot(df_cfc: DataFrame, df_can: DataFrame) -> Split:
 def tag_by_notice(df: DataFrame, side: str, other: DataFrame) -> DataFrame:
     """Tag rows of one side (``'cfc'``/``'can'``) as notice-matched or not."""
     mine, theirs = (CFC_NOTICE, CAN_NOTICE) if side == "cfc" else (CAN_NOTICE, CFC_NOTICE)
-    return tag_matched(df, [F.col(mine)], _keys(other, {"_k0": F.col(theirs)}))
+    return tag_matched(df, [_notice(df, mine)], _keys(other, {"_k0": _notice(other, theirs)}))
 
 
 def tag_by_lot(df: DataFrame, side: str, other: DataFrame) -> DataFrame:

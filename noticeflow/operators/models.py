@@ -92,6 +92,12 @@ def _settings(grid: dict, full: bool) -> list[dict]:
     return [dict(zip(keys, v)) for v in itertools.product(*vals)]
 
 
+def _depth(depth: int) -> int:
+    if depth > 30:
+        raise ValueError(f"trees are at most 30 levels deep here, not {depth}")
+    return depth
+
+
 def _classifier(name: str, s: dict, wsum: float | None = None):
     if name == "logreg":
         return LogisticRegression(featuresCol="features", labelCol="label", weightCol="_w",
@@ -99,7 +105,7 @@ def _classifier(name: str, s: dict, wsum: float | None = None):
                                   standardization=False, maxIter=1000)
     if name == "dt":
         return DecisionTreeClassifier(featuresCol="features", labelCol="label", weightCol="_w",
-                                      maxDepth=min(s["max_depth"], 30),
+                                      maxDepth=_depth(s["max_depth"]),
                                       minInstancesPerNode=s["min_samples_leaf"], seed=42)
     if name == "gbt":
         return GBTClassifier(featuresCol="features", labelCol="label", weightCol="_w",
@@ -121,7 +127,7 @@ def _regressor(name: str, s: dict):
         return GBTRegressor(featuresCol="features", labelCol="label", maxIter=s["n_estimators"],
                             stepSize=s["learning_rate"], maxDepth=s["max_depth"],
                             subsamplingRate=s["subsample"], seed=42)
-    raise ValueError(f"Model '{name}' not supported.")
+    raise ValueError(f"unknown model {name!r}")
 
 
 def tune(train: DataFrame, name: str, task: str, fold_col: str = "fold", full_grid: bool = False,
@@ -130,7 +136,7 @@ def tune(train: DataFrame, name: str, task: str, fold_col: str = "fold", full_gr
     the whole training table. Returns (best model, [(setting, score)])."""
     grids = CLASSIFIER_GRIDS if task == "classification" else REGRESSOR_GRIDS
     if name not in grids:
-        raise ValueError(f"Model '{name}' not supported.")
+        raise ValueError(f"unknown model {name!r}")
     settings = _settings(grids[name], full_grid)
     if task == "classification":
         wsum = train.agg(F.sum("_w")).first()[0] if name == "logreg" else None

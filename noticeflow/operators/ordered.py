@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from noticeflow.session import ensure_checkpoint_dir
+from noticeflow.session import ensure_checkpoint_dir, materialize
 
 _PID, _LOC, _FIRST, _N, _OFF = "_o_pid", "_o_loc", "_o_first", "_o_n", "_o_off"
 
@@ -103,9 +103,10 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float],
 
     Returns the long table (group..., ``_name``, ``_p``, ``_q``).
 
-    * ``ranked`` (default): one distributed sort of all values; the two
-      neighbouring ranks ``floor/ceil((n-1)p)`` are looked up and
-      interpolated as ``lo + frac*(hi-lo)``. No single task holds a column.
+    * ``ranked`` (default): counts per distinct value, one distributed sort of
+      these; the two neighbouring ranks ``floor/ceil((n-1)p)`` are looked up
+      and interpolated as ``lo + frac*(hi-lo)``. No single task holds a column
+      or all rows of one value.
     * ``exact``: Spark's ``percentile`` (a value->count map per group, fine
       for bounded distinct counts).
     * ``approx``: ``percentile_approx`` (sketch, bounded memory).
@@ -122,22 +123,29 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float],
     if method != "ranked":
         raise ValueError(f"unknown quantile method {method!r}")
     long = unpivot_values(df, cols, groups)
-    ix = global_index(long, ["_v"], groups + ["_name"], idx="_r")
-    counts = ix.groupBy(*groups, "_name").agg(F.count(F.lit(1)).alias("_cnt"))
-    pt = F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("_p")
-    tg = counts.select(*groups, "_name", "_cnt", pt) \
-        .withColumn("_h", (F.col("_cnt") - 1).cast("double") * F.col("_p")) \
-        .withColumn("_lo", F.floor("_h")).withColumn("_hi", F.ceil("_h"))
-    need = tg.select(*groups, "_name", F.explode(F.array_distinct(F.array("_lo", "_hi")))
-                     .alias("_r")).distinct()
-    vals = ix.join(F.broadcast(need), on=[*groups, "_name", "_r"]) \
-             .select(*groups, "_name", "_r", "_v")
-    lo = vals.withColumnRenamed("_r", "_lo").withColumnRenamed("_v", "_vlo")
-    hi = vals.withColumnRenamed("_r", "_hi").withColumnRenamed("_v", "_vhi")
-    out = (tg.join(lo, on=[*groups, "_name", "_lo"]).join(hi, on=[*groups, "_name", "_hi"])
-             .withColumn("_q", F.col("_vlo") + (F.col("_h") - F.col("_lo")) *
-                         (F.col("_vhi") - F.col("_vlo"))))
-    return out.select(*groups, "_name", "_p", "_q")
+    keys = groups + ["_name"]
+    # equal values are one row with a count, so a value that most rows have is
+    # no hot key; a row then covers the ranks _from <= r < _to
+    distinct = long.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    n = _num_parts(df, None)
+    s = materialize(distinct.repartitionByRange(n, *keys, "_v").withColumn(_PID, F.spark_partition_id().cast("bigint")))
+    per = s.groupBy(_PID, *keys).agg(F.sum("_c").alias(_N))
+    before = Window.partitionBy(*keys).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
+    offs = per.withColumn(_OFF, F.coalesce(F.sum(_N).over(before), F.lit(0))) \
+              .withColumn("_cnt", F.sum(_N).over(Window.partitionBy(*keys))).drop(_N)
+    run = Window.partitionBy(_PID, *keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    rows = s.withColumn("_run", F.sum("_c").over(run)).join(offs, on=[_PID, *keys]) \
+            .withColumn("_to", F.col(_OFF) + F.col("_run")).withColumn("_from", F.col("_to") - F.col("_c"))
+    rank = lambda p: (F.col("_cnt") - 1).cast("double") * F.lit(float(p))
+    at = lambda r: F.max(F.when((F.col("_from") <= r) & (r < F.col("_to")), F.col("_v")))
+    aggs = [F.max("_cnt").alias("_cnt")]
+    for i, p in enumerate(probs):
+        aggs += [at(F.floor(rank(p))).alias(f"_lo{i}"), at(F.ceil(rank(p))).alias(f"_hi{i}")]
+    found = rows.groupBy(*keys).agg(*aggs)
+    each = [F.struct(F.lit(float(p)).alias("_p"),
+                     (F.col(f"_lo{i}") + (rank(p) - F.floor(rank(p))) * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))).alias("_q"))
+            for i, p in enumerate(probs)]
+    return found.select(*keys, F.inline(F.array(*each)))
 
 
 def quantile_table(df: DataFrame, cols: list[str], probs: list[float],

@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 BUCKETS = 1000
 
 
+SAMPLE_BUCKETS = 1 << 14
+
+
 def hash32(key: Column, seed: int = 42) -> Column:
     """Unsigned 32-bit hash of ``key`` (cast to text) and ``seed``."""
     h = F.md5(F.concat(key.cast("string"), F.lit(f"|{seed}")))
@@ -28,12 +31,21 @@ def bucket(key: Column, seed: int = 42, buckets: int = BUCKETS) -> Column:
 def hash_sample(df: DataFrame, n: int, key: str = "_row_pos", seed: int = 42) -> DataFrame:
     """L1: exactly ``min(n, rows)`` rows without replacement, seeded.
 
-    The ``n`` rows with the smallest hash (ties by key): a distributed top-k
-    (``TakeOrderedAndProject``) whose memory is bounded by ``n``, the
-    sampling operator's own parameter.
+    The ``n`` rows with the smallest hash (ties by key). Counts per hash
+    bucket (``SAMPLE_BUCKETS`` numbers on the driver at any size) tell which
+    buckets are kept whole; only the rows of the bucket that holds the cut are
+    ranked, about ``rows / SAMPLE_BUCKETS`` of them.
     """
-    h = hash32(F.col(key), seed)
-    return df.withColumn("_h", h).orderBy("_h", key).limit(n).drop("_h")
+    tagged = df.withColumn("_h", hash32(F.col(key), seed))
+    part = F.shiftright("_h", 32 - SAMPLE_BUCKETS.bit_length() + 1)
+    counts = sorted((r.b, r.n) for r in tagged.groupBy(part.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect())
+    seen = 0
+    for b, k in counts:
+        if seen + k > n:
+            edge = tagged.where(part == b).orderBy("_h", key).limit(n - seen)
+            return tagged.where(part < b).unionByName(edge).drop("_h")
+        seen += k
+    return df
 
 
 def group_split(df: DataFrame, group_col: str, test_size: float = 0.2, seed: int = 42,

@@ -7,6 +7,7 @@ from functools import reduce as _fold
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from noticeflow.functions.text import as_number
 from noticeflow.operators import ordered
 
 
@@ -16,7 +17,7 @@ def encoding_dictionary(df: DataFrame, columns: list[str]) -> DataFrame:
     arr = F.array(*[F.struct(F.lit(c).alias("Feature"), F.col(c).cast("string").alias("Value"))
                     for c in columns])
     vals = df.select(F.inline(arr)).where(F.col("Value").isNotNull()).distinct()
-    num = F.col("Value").try_cast("double")
+    num = as_number(F.col("Value"))
     flags = vals.groupBy("Feature").agg(F.bool_and(num.isNotNull()).alias("_allnum"))
     v = vals.join(F.broadcast(flags), "Feature") \
             .withColumn("_num", F.when(F.col("_allnum"), num))

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noticeflow.operators import evaluate, merge, profile, split, tables
+from noticeflow.operators import evaluate, merge, profile, tables
 from noticeflow.operators.audit import stage01_audit
 from noticeflow.operators.clean import INPUT_LOG_COLS, INPUT_STANDARD_COLS
 from noticeflow.plans import queries as base
@@ -28,7 +28,6 @@ GOLDEN_CATEGORICAL = ["ISO_COUNTRY_CODE", "CAE_TYPE", "MAIN_ACTIVITY", "TOP_TYPE
                       "ID_TYPE", "TYPE_OF_CONTRACT", "CRIT_CODE"]
 CORR_COLS = ["TARGET_AWARD_VALUE_EUR", "LOT_AWARD_VALUE_EUR", "ESTIMATED_VALUE_EUR",
              "NUMBER_OF_TENDERS", "DURATION", "PREPARATION_DAYS", "NUTS_LEVEL", "LOTS_NUMBER"]
-PROFILE_SAMPLE = 250000
 
 
 def golden(spark, d) -> DataFrame:
@@ -36,14 +35,6 @@ def golden(spark, d) -> DataFrame:
     return base._rounded(base.golden(spark, d), INPUT_LOG_COLS + INPUT_STANDARD_COLS)
 
 
-def golden_sample(spark, d) -> DataFrame:
-    """L1 sample (seeded, exact size) used by the full profile."""
-    g = golden(spark, d)
-    key = F.concat_ws("-", F.col("_row_pos").cast("string"), F.col("_row_pos2").cast("string"))
-    return split.hash_sample(g.withColumn("_row_key", key), PROFILE_SAMPLE, key="_row_key") \
-        .drop("_row_key")
-
-
 @query
 def profile_minimal(spark, d):
     """S4 on the cleaned golden table (exact distinct counts)."""
@@ -52,17 +43,17 @@ def profile_minimal(spark, d):
 
 @query
 def profile_histogram(spark, d):
-    return profile.histogram(golden_sample(spark, d), CORR_COLS, bins=10)
+    return profile.histogram(golden(spark, d), CORR_COLS, bins=10)
 
 
 @query
 def profile_topk(spark, d):
-    return profile.top_values(golden_sample(spark, d), GOLDEN_CATEGORICAL, k=5)
+    return profile.top_values(golden(spark, d), GOLDEN_CATEGORICAL, k=5)
 
 
 @query
 def profile_corr(spark, d):
-    return profile.correlations(golden_sample(spark, d), CORR_COLS)
+    return profile.correlations(golden(spark, d), CORR_COLS)
 
 
 @query

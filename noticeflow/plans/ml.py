@@ -248,7 +248,7 @@ def kmeans_quality(spark, d):
 @query
 def optimal_k(spark, d):
     """M4: silhouette for k = 2..6."""
-    rows = cluster.find_optimal_k(cluster_input(spark, d), 6, 5)
+    rows = cluster.find_optimal_k(cluster_input(spark, d), 6, 15)
     return spark.createDataFrame([(k, float(s)) for k, s in rows], "k int, Silhouette double")
 
 
@@ -261,12 +261,10 @@ def gmm_segments(spark, d):
 
 @query
 def pca_projection(spark, d):
-    """2-D projection of the k-means segments (seeded sample of 15000)."""
+    """2-D projection of the k-means segments, every row."""
     res, _ = cluster.train_kmeans(cluster_input(spark, d), 4, 15)
     proj, ratio = cluster.pca_2d(res)
-    proj = proj.withColumn("_row_key", F.col("ID_NOTICE").cast("string"))
-    sample = split.hash_sample(proj, 15000, key="_row_key")
-    return sample.select("ID_NOTICE", "cluster", "PC1", "PC2")
+    return proj.select("ID_NOTICE", "cluster", "PC1", "PC2")
 
 
 @query

@@ -218,3 +218,28 @@ _STR_CFC = ["ID_LOT", "TOP_TYPE", "ISO_COUNTRY_CODE", "CPV", "TAL_LOCATION_NUTS"
 sql("ingest_roundtrip", "SELECT * EXCLUDE (_row_pos) REPLACE ("
     + ", ".join(f"CASE WHEN {c} IN ({_TOKENS}) THEN NULL ELSE {c} END AS {c}" for c in _STR_CFC)
     + "), _row_pos AS _src_pos, cast(row_number() OVER (ORDER BY _row_pos) - 1 as bigint) AS _row_pos FROM cfc")
+
+
+# ids as numbers: equality of the values themselves, nulls match nothing
+_NUM_SIDES = """
+WITH k AS (SELECT *, l_orderkey * CASE WHEN l_orderkey % 2 = 0 THEN 100000 ELSE 1 END AS key FROM lineitem),
+a AS (SELECT CASE WHEN l_orderkey % 5 <> 0 THEN key END AS n,
+             CASE WHEN l_linenumber <> 2 THEN l_linenumber ELSE -1 END AS l FROM k WHERE l_linenumber <= 3),
+b AS (SELECT key AS n, CASE WHEN l_linenumber <> 2 THEN l_linenumber ELSE -1 END AS l
+      FROM k WHERE l_linenumber >= 2 AND l_orderkey % 3 <> 0),
+na AS (SELECT DISTINCT n FROM a WHERE n IS NOT NULL), nb AS (SELECT DISTINCT n FROM b),
+la AS (SELECT DISTINCT n, l FROM a WHERE n IS NOT NULL), lb AS (SELECT DISTINCT n, l FROM b),
+ma AS (SELECT nb.n IS NOT NULL AS notice, lb.n IS NOT NULL AS lot FROM a LEFT JOIN nb ON a.n = nb.n LEFT JOIN lb ON a.n = lb.n AND a.l = lb.l),
+mb AS (SELECT na.n IS NOT NULL AS notice, la.n IS NOT NULL AS lot FROM b LEFT JOIN na ON b.n = na.n LEFT JOIN la ON b.n = la.n AND b.l = la.l)
+"""
+
+
+def _numeric(level: str, shared: str) -> str:
+    return " UNION ALL ".join(
+        [f"SELECT '{level}' AS Level, '{side}_{name}' AS Frame, cast(count(*) FILTER ({test}) AS bigint) AS Rows FROM m{t}"
+         for side, t in (("cfc", "a"), ("can", "b")) for name, test in (("matched", level), ("orphans", f"NOT {level}"))]
+        + [f"SELECT '{level}', 'shared_keys', cast(count(*) AS bigint) FROM ({shared})"])
+
+
+ORACLE["notice_split_numeric_ids"] = (_NUM_SIDES + _numeric("notice", "SELECT n FROM na INTERSECT SELECT n FROM nb") + " UNION ALL "
+                                      + _numeric("lot", "SELECT n, l FROM la INTERSECT SELECT n, l FROM lb"))

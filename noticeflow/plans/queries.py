@@ -234,6 +234,22 @@ def notice_split_counts(spark, d):
                          match.tag_by_notice(p.can, "can", p.cfc), match.notice_keys(p.cfc, p.can))
 
 
+@query
+def notice_split_numeric_ids(spark, d):
+    """J1, J2 and J6 where one side's ids are doubles with nulls and the other's are integers."""
+    li = fixtures.read_table(spark, d, "lineitem")
+    key = F.col("l_orderkey") * F.when(F.col("l_orderkey") % 2 == 0, 100000).otherwise(1)
+    lot = F.col("l_linenumber")
+    cfc = li.where("l_linenumber <= 3").select(
+        F.when(F.col("l_orderkey") % 5 != 0, key.cast("double")).alias("FUTURE_CAN_ID"),
+        F.when(lot != 2, lot.cast("double") * 4000000).alias("ID_LOT"))
+    can = li.where("l_linenumber >= 2 and l_orderkey % 3 <> 0").select(
+        key.cast("bigint").alias("ID_NOTICE_CAN"), F.when(lot != 2, lot.cast("bigint") * 4000000).alias("ID_LOT"))
+    notice = _split_counts(match.tag_by_notice(cfc, "cfc", can), match.tag_by_notice(can, "can", cfc), match.notice_keys(cfc, can))
+    lots = _split_counts(match.tag_by_lot(cfc, "cfc", can), match.tag_by_lot(can, "can", cfc), match.lot_keys(cfc, can))
+    return notice.withColumn("Level", F.lit("notice")).unionByName(lots.withColumn("Level", F.lit("lot")))
+
+
 @query
 def matched_notices(spark, d):
     """J3 after J1: the notice-matched award notices."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -29,7 +30,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     b = SparkSession.builder.master(f"local[{cores}]").appName(app)
     conf = dict(BASE_CONF)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
-    conf["spark.driver.memory"] = os.environ.get("NOTICEFLOW_DRIVER_MEMORY", "16g")
+    conf["spark.driver.memory"] = os.environ.get("NOTICEFLOW_DRIVER_MEMORY", "8g")
     conf.update(extra or {})
     for k, v in conf.items():
         b = b.config(k, v)
@@ -53,6 +54,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if sc is not None and not d:
         d = sc.getCheckpointDir()
     if not d:
+        if sc is None or not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="noticeflow-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", d)
     if sc is not None and not sc.getCheckpointDir():
@@ -67,10 +70,14 @@ def stage_dir(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df):
-    """Cut lineage: a reliable checkpoint in the shared checkpoint folder.
+    """Write ``df`` as Parquet below the shared checkpoint folder and read it.
 
-    Used where one intermediate table feeds both an aggregate (fences, codes)
-    and the rows that use it, so the upstream joins run once; survives the
-    loss of executors (unlike a local checkpoint)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    Used where one intermediate table feeds several readers (fences, codes,
+    stage tables), so the upstream joins run once. Later readers take only the
+    columns they need, with filters pushed into the scan, and the table
+    survives the loss of executors. Every call has a folder of its own, so a
+    table is never stale within the run that wrote it."""
+    root = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
+    path = f"{root}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -25,22 +25,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a scan that has fewer splits than the cluster has cores.
-
-    A small single-row-group Parquet file reads as one split, and every
-    broadcast join and projection above it would then run in one task. Big
-    inputs already have many splits and are left alone (no extra shuffle)."""
-    try:
-        n = df.sparkSession.sparkContext.defaultParallelism
-        small = df.rdd.getNumPartitions() < n
-    except Exception:  # sessions without RDD access: leave the plan as it is
-        return df
-    return df.repartition(n) if small else df
-
-
 def _base(spark: SparkSession, sf_dir: str, status: str) -> DataFrame:
-    li = spread(read_table(spark, sf_dir, "lineitem").select(*LINE_COLS).where(
+    li = (read_table(spark, sf_dir, "lineitem").select(*LINE_COLS).where(
         F.col("l_linestatus") == status))
     o = read_table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
@@ -121,8 +107,10 @@ def _shared_cols() -> list[Column]:
 
 
 def memo(spark: SparkSession, key: tuple, build):
-    """Reuse a lazy DataFrame *plan* (no data) within one session: building
-    and analysing the fixture and stage plans costs seconds of driver time."""
+    """Reuse a fixture plan or a written stage table within one session.
+
+    Keys hold the input path only: after a change of the data below a path,
+    start a new session or call ``forget``."""
     store = getattr(spark, "_noticeflow_plans", None)
     if store is None:
         store = {}
@@ -132,6 +120,11 @@ def memo(spark: SparkSession, key: tuple, build):
     return store[key]
 
 
+def forget(spark: SparkSession) -> None:
+    """Drop all plans and stage tables that ``memo`` keeps."""
+    spark._noticeflow_plans = {}
+
+
 def cfc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw contract notices (one row per planned lot)."""
     return memo(spark, ("cfc", sf_dir), lambda: _cfc(spark, sf_dir))

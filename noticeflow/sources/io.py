@@ -26,7 +26,7 @@ NULL_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-n
                "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a",
                "nan", "null"]
 
-_CSV_OPTS = {"header": "true", "multiLine": "true", "escape": '"', "quote": '"',
+_CSV_OPTS = {"header": "true", "escape": '"', "quote": '"',
              "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 
@@ -44,7 +44,8 @@ def clean_types(df: DataFrame) -> DataFrame:
 
 def with_row_pos(df: DataFrame, col: str = "_row_pos") -> DataFrame:
     """Dense 0-based file-order position; call directly on a file scan."""
-    key = F.struct(F.col("_metadata.file_path").alias("f"),
+    # shorter names first: part-99999 comes before part-100000
+    key = F.struct(F.length("_metadata.file_path").alias("n"), F.col("_metadata.file_path").alias("f"),
                    F.col("_metadata.file_block_start").alias("b"),
                    (F.monotonically_increasing_id()
                     - F.shiftleft(F.spark_partition_id().cast("bigint"), 33)).alias("i"))
@@ -52,8 +53,11 @@ def with_row_pos(df: DataFrame, col: str = "_row_pos") -> DataFrame:
     return ordered.global_index(tagged, ["_pos_key"], idx=col).drop("_pos_key")
 
 
-def read_csv(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
-    r = spark.read.options(**_CSV_OPTS)
+def read_csv(spark: SparkSession, path: str, schema: StructType | None = None,
+             multi_line: bool = False) -> DataFrame:
+    """``multi_line`` allows line breaks inside quoted values, at the price of
+    one task per file; without it large files are split."""
+    r = spark.read.options(**_CSV_OPTS, multiLine=multi_line)
     r = r.schema(schema) if schema is not None else r.option("inferSchema", "true")
     return clean_types(r.csv(path))
 

@@ -14,20 +14,17 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from noticeflow.plans.prepare import prepare
-from noticeflow.session import ensure_checkpoint_dir
 
 
 def prepare_stream(spark: SparkSession, source_dir: str, schema: StructType, side: str,
-                   sink_dir: str, checkpoint: str | None = None,
+                   sink_dir: str, checkpoint: str,
                    once: bool = False) -> StreamingQuery:
     """Read Parquet notice files from ``source_dir`` as a stream, apply stage
-    01 and append to ``sink_dir``. The stream's checkpoint goes under the
-    shared ``spark.checkpoint.dir`` unless given, so it restarts exactly-once
-    after a failure."""
-    root = ensure_checkpoint_dir(spark).rstrip("/")
-    ckpt = checkpoint or f"{root}/streams/prepare_{side}"
+    01 and append to ``sink_dir``. ``checkpoint`` names the stream's own
+    folder on shared storage; a restart with the same folder goes on
+    exactly-once."""
     src = spark.readStream.schema(schema).parquet(source_dir)
     w = (prepare(src, side).writeStream.format("parquet").option("path", sink_dir)
-         .option("checkpointLocation", ckpt).outputMode("append"))
+         .option("checkpointLocation", checkpoint).outputMode("append"))
     w = w.trigger(availableNow=True) if once else w
     return w.start()

@@ -86,3 +86,16 @@ def test_half_even_rounding(spark):
 def test_log1p_minus_one_is_null(spark):
     df = spark.createDataFrame([(-1.0,), (-2.0,)], "x double")
     assert [r[0] for r in df.select(F.log1p("x")).collect()] == [None, None]
+
+
+def test_numeric_text_and_unicode_blanks(spark):
+    from pyspark.sql import functions as F
+
+    from noticeflow.functions.codes import cpv_prefix
+    from noticeflow.functions.text import as_number, strip_ws
+    rows = ["45d", "3F", "1e3", " 7 ", ".5", "x", "", "\xa0Y\xa0", "45200000d", "45200000.0", None]
+    df = spark.createDataFrame([(r,) for r in rows], "t string")
+    got = [tuple(r) for r in df.select("t", as_number(F.col("t")), strip_ws(F.col("t")), cpv_prefix(F.col("t"))).collect()]
+    by = {r[0]: r[1:] for r in got}
+    assert [by[t][0] for t in ("45d", "3F", "1e3", " 7 ", ".5", "x", "")] == [None, None, 1000.0, 7.0, 0.5, None, None]
+    assert by["\xa0Y\xa0"][1] == "Y" and by["45200000d"][2] == "45200000d" and by["45200000.0"][2] == "45"

@@ -108,3 +108,36 @@ def test_group_split_keeps_groups_whole(spark):
     assert per.where("n > 1").count() == 0
     frac = s.where("_is_test = 1").select("g").distinct().count() / 97
     assert 0.05 < frac < 0.4
+
+
+def test_numeric_ids_partition_each_side(spark):
+    from noticeflow.operators import match
+    cfc = spark.createDataFrame([(45200000.0,), (2018001.0,), (None,), (7.0,)], "FUTURE_CAN_ID double")
+    can = spark.createDataFrame([(45200000,), (2018001,)], "ID_NOTICE_CAN bigint")
+    s = match.split_by_notice(cfc, can)
+    assert (s.cfc_matched.count(), s.cfc_orphans.count(), s.can_matched.count(), s.can_orphans.count()) == (2, 2, 2, 0)
+    assert match.notice_keys(cfc, can).count() == 2
+    assert match.tag_by_notice(cfc, "cfc", can).where("_matched").count() == 2
+    text = spark.createDataFrame([("452.0",), ("452",)], "ID_NOTICE_CAN string")
+    raw = spark.createDataFrame([("452",)], "FUTURE_CAN_ID string")
+    assert match.split_by_notice(raw, text).can_matched.count() == 1  # text ids stay exact
+
+
+def test_quantiles_of_a_constant_column(spark):
+    from pyspark.sql import functions as F
+
+    from noticeflow.operators import ordered
+    df = spark.range(20000).select(F.when(F.col("id") % 10 == 0, F.col("id").cast("double")).otherwise(5.0).alias("v"))
+    got = {r._p: r._q for r in ordered.quantiles(df, ["v"], [0.0, 0.5, 0.95, 1.0]).collect()}
+    want = df.agg(F.percentile("v", F.array(*[F.lit(p) for p in (0.0, 0.5, 0.95, 1.0)]))).first()[0]
+    assert [got[p] for p in (0.0, 0.5, 0.95, 1.0)] == want
+    s = df.groupBy("v").count()
+    assert s.count() <= 2001  # what is sorted and dealt out: one row per value
+
+
+def test_exact_sample_has_no_global_top_k(spark):
+    from noticeflow.operators import split
+    df = spark.range(5000).withColumnRenamed("id", "_row_pos")
+    want = [r[0] for r in df.withColumn("_h", split.hash32(df["_row_pos"])).orderBy("_h", "_row_pos").limit(1234).collect()]
+    assert sorted(r[0] for r in split.hash_sample(df, 1234).collect()) == sorted(want)
+    assert split.hash_sample(df, 9999).count() == 5000 and split.hash_sample(df, 0).count() == 0

@@ -16,7 +16,8 @@ from tests.conftest import SF_SMALL
 FAST = ["orphan_rate_by_year", "notice_split_counts", "lot_split_counts", "prepared_cfc",
         "prepared_can", "master_merge", "feature_consistency", "partial_success",
         "regression_metrics", "average_precision", "roc_auc", "davies_bouldin",
-        "calinski_harabasz", "pipeline_audit", "ingest_roundtrip"]
+        "calinski_harabasz", "pipeline_audit", "ingest_roundtrip",
+        "notice_split_numeric_ids", "hash_sample", "profile_topk"]
 KEYS = sorted(E.oracle_sql()) if os.environ.get("NOTICEFLOW_FULL_ORACLE") else FAST
 
 
