@@ -58,6 +58,24 @@ def test_filter_keeps_what_alignment_accepts():
     assert np.all(block.bound >= 1)
 
 
+def test_passages_cut_at_every_offset():
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8))) for _ in range(900)]
+    say = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    for m in (41, 59, 60, 79, 80, 95, 119, 120, 179, 180, 239, 394):
+        item = say(100)[:m - 1] + "q"
+        block, n = decontam.Block([(1, item), (2, say(40))]), decontam.least_passage(m)
+        assert n <= 89 and (m < 80 or n <= 0.75 * m)
+        for at in range(m - n + 1):
+            text = decontam.fold(say(30) + " zz" + item[at:at + n].strip() + "zz " + say(30))
+            if len(item[at:at + n].strip()) == n:
+                assert block.search(text).keys() == {1}, (m, at)
+        # edited whole items are found as before
+        k = decontam.budget(m) if m <= 179 else 0
+        if k <= (m - decontam.Q) // decontam.Q:
+            assert 1 in block.search(say(9) + " " + edit(rng, item, k) + " " + say(9))
+
+
 def test_rows(spark, monkeypatch):
     bench = spark.createDataFrame([(1, "The quick brown fox jumps over the lazy dog tonight", "x"), (2, None, "x"), (3, "  ", "x"), (4, "Tiny one", "x"),
                                    (4, "another   item of forty signs, or rather more", "x")], "item_id long, text string, doc_id string")
