@@ -8,11 +8,14 @@ features of a candidate, but not the checks; they learn from candidates that the
 checks or a strong context decide (``_weak_label``). The trees are turned into
 one Column expression, and a threshold per kind is chosen on a calibration part
 so that at least ``PRECISION`` of what it selects is positive. Selected
-candidates join the base spans, which always stay.
+candidates join the base spans, which always stay; a number inside one adds
+nothing and is left out.
 
 Everything per document is one narrow projection of built-in functions: no
-shuffle, no Python on executors. Only the fit uses a bounded sample of
-documents (``SAMPLE``), read into a few driver-side tree nodes.
+shuffle, no Python on executors. The labelled candidates and the calibration are
+grouped aggregates over all documents; only the trees are fitted on a bounded
+part (``CANDIDATES``), spread over kinds and labels and weighted back, and read
+into a few driver-side tree nodes.
 
 Rows: null text counts as empty and has no spans; repeated rows repeat;
 without both classes of candidates nothing is added to the base; offsets are
@@ -28,10 +31,10 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noticeflow.llm.common import bounded_sample, checkpointed, settled
+from noticeflow.llm.common import checkpointed, settled
 
-#: Documents that the fit may read, and candidates that it may train on.
-SAMPLE, CANDIDATES = 20_000, 20_000
+#: Candidates that the fit may train on.
+CANDIDATES = 20_000
 TREES, DEPTH, PRECISION, LEAST_CALIBRATION = 8, 3, 0.98, 3
 BINS = 50
 
@@ -132,14 +135,15 @@ def _features(s: Column) -> dict[str, Column]:
     return {k: v.cast("double") for k, v in out.items()}
 
 
-def _weak_label(s: Column, origin: Column) -> Column:
+def _weak_label(s: Column, origin: Column, base: Column) -> Column:
     """1 or 0 where a check or a strong context decides, else null."""
+    met = F.exists(base, lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))
     decided = s["before"].rlike(r"(?i)(?:token|secret|passw(?:or)?d|api.?key|access.?key)[\x20]*[=:][\x20\"']*$")
     mixed = s["hit"].rlike("[A-Za-z]") & s["hit"].rlike("[0-9]")
     return (F.when(origin == "base", 1.0).when(origin == "failed", 0.0)
             .when(s["kind"] == "secret", F.when(decided & mixed, 1.0).when(~s["before"].rlike("[=:\"'][\\x20\"']*$"), 0.0))
             .when(s["kind"] == "mail_words", F.when(s["hit"].rlike(r"(?i)dot|\.[a-z]{2,6}$"), 1.0).otherwise(0.0))
-            .when(s["kind"] == "number", F.when(~s["before"].rlike(KEYWORD), 0.0)))
+            .when(s["kind"] == "number", F.when(met | s["before"].rlike(KEYWORD), 1.0).otherwise(0.0)))
 
 
 @dataclass
@@ -164,23 +168,31 @@ def _node(n) -> tuple:
     return int(n.split().featureIndex()), float(n.split().threshold()), _node(n.leftChild()), _node(n.rightChild())
 
 
-def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
-    """Trees and thresholds from the candidates of at most about ``sample`` documents."""
-    some = candidates(bounded_sample(df.select(id_col, text_col), id_col, sample), [id_col], text_col)
+def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """Trees and thresholds from the candidates of all documents."""
+    some = candidates(df.select(id_col, text_col), [id_col], text_col)
     rows = None
     for origin in ("base", "failed", "extra"):
-        part = some.select(F.col(id_col).alias("_id"), F.explode(origin).alias("s"), F.lit(origin).alias("origin"))
+        part = some.select("base", F.explode(origin).alias("s"), F.lit(origin).alias("origin"))
         rows = part if rows is None else rows.union(part)
     s = F.col("s")
     # one vote per text of a candidate: copies of a document don't count again
-    rows = rows.select(F.crc32(s["hit"].cast("binary")).alias("h"), s["kind"].alias("kind"), _weak_label(s, F.col("origin")).alias("label"),
+    rows = rows.select(F.crc32(s["hit"].cast("binary")).alias("h"), s["kind"].alias("kind"), _weak_label(s, F.col("origin"), F.col("base")).alias("label"),
                        F.array(*[c.alias(k) for k, c in _features(s).items()]).alias("x")).where("label is not null")
     rows = rows.groupBy("h", "kind", "label").agg(F.first("x").alias("x"))
-    rows = checkpointed(bounded_sample(checkpointed(rows), "h", CANDIDATES).coalesce(1))
-    train = rows.where(F.col("h") % 4 != 0).select("label", array_to_vector("x").alias("features"))
-    if train.select("label").distinct().count() < 2:
+    rows = checkpointed(rows)
+    train = rows.where(F.col("h") % 4 != 0)
+    sizes = train.groupBy("kind", "label").count().collect()  # at most two per kind
+    if len({r.label for r in sizes}) < 2:
         return Model()
-    gbt = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7, cacheNodeIds=False).fit(train)
+    share = F.lit(1.0)  # of a kind and label that the fit takes
+    for r in sizes:
+        share = F.when((F.col("kind") == r.kind) & (F.col("label") == r.label), min(1.0, CANDIDATES / len(sizes) / r["count"])).otherwise(share)
+    if sum(r["count"] for r in sizes) <= CANDIDATES:
+        share = F.lit(1.0)
+    train = train.withColumn("share", share).where(F.crc32(F.col("h").cast("string").cast("binary")) < F.col("share") * 2**32)
+    train = checkpointed(train.select("label", (1 / F.col("share")).alias("weight"), "x").coalesce(1)).select("label", "weight", array_to_vector("x").alias("features"))
+    gbt = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7, cacheNodeIds=False, weightCol="weight").fit(train)
     model = Model([(float(w), _node(t._call_java("rootNode"))) for w, t in zip(gbt.treeWeights, gbt.trees)])
     probability = model.score({k: F.col("x")[i] for i, k in enumerate(FEATURES)})
     held = (rows.where(F.col("h") % 4 == 0).select("kind", F.floor(probability * BINS).alias("bin"), "label")
@@ -212,7 +224,8 @@ def find(df: DataFrame, model: Model, keep: list[str], text_col: str = "text") -
             out = F.lit(False)
             for kind, limit in model.limits.items():
                 out = out | ((s["kind"] == kind) & (p >= limit))
-            return out
+            inside = F.exists("base", lambda b: (b["start"] <= s["start"]) & (s["stop"] <= b["stop"]))
+            return out & ~((s["kind"] == "number") & inside)
         picked = F.filter("extra", wanted)
     return d.select(*keep, "base", F.concat("base", picked).alias("spans"))
 

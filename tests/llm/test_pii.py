@@ -1,6 +1,7 @@
 """Base spans against Python's regular expressions; what the trees add; redaction."""
 
 import hashlib
+import random
 import re
 
 from noticeflow.llm import pii
@@ -55,6 +56,21 @@ def test_whole_table(spark):
     assert added > 5
 
 
+def test_planted_numbers_are_selected(spark, monkeypatch):
+    rng = random.Random(8)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    rows = [(i, f"my account {digits(4)} {digits(4)} {digits(3)} please") for i in range(80)]
+    rows += [(i, f"it made {digits(11)} turns since") for i in range(80, 300)]
+    rows += [(300, "card 4111 1111 1111 1111 given")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for most in (pii.CANDIDATES, 60):
+        monkeypatch.setattr(pii, "CANDIDATES", most)
+        got = {r.doc_id: [tuple(s)[:4] for s in r.spans] for r in pii.find(df, pii.fit(df), ["doc_id"]).collect()}
+        for i, t in rows[:300]:
+            assert got[i] == ([("number", 11, 24, t[11:24])] if i < 80 else []), t
+        assert [s[0] for s in got[300]] == ["card"]
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "to me@x.org, 4111 1111 1111 1111!", "k"), (2, None, "k"), (3, "none", None)], "doc_id long, text string, base string")
     got = {r.doc_id: (r.text, r.base) for r in pii.redact(df, pii.Model()).collect()}
