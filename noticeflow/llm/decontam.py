@@ -227,6 +227,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents in which no benchmark item was found."""
-    bad = matches(docs, benchmark, id_col, text_col).select(F.col(id_col).alias("_bad")).distinct()
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_bad")), "left_anti")
+    """The rows in whose text no benchmark item was found, whatever other rows have their id, or null."""
+    keyed = docs.withColumn("_key", F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"), 256))
+    bad = matches(keyed, benchmark, "_key", text_col).select(F.col("_key").alias("_bad")).distinct()
+    return keyed.join(bad, F.col("_key") == F.col("_bad"), "left_anti").drop("_key")

@@ -1,6 +1,7 @@
 """The stages in a row: columns, decisions that take effect, clashing names."""
 
 import corpus_pipeline
+from noticeflow.llm import decontam, jaccard
 from noticeflow.llm.decontam import fold
 
 D = "/root/testdata/sf0.001"
@@ -27,3 +28,16 @@ def test_run(spark):
             assert not any("@mail" in r.text for r in rows)
         before, docs = len(rows), out
     assert corpus_pipeline.STAGES[-1][1](spark, docs, D).count() == before
+
+
+def test_rows_under_null_and_repeated_ids(spark):
+    item = "the quick brown fox jumps over the lazy dog tonight and never comes back"
+    say = lambda k: " ".join(f"w{k}x{j}" for j in range(60))
+    a, b, c, d, near, e = say(1), say(2), say(3), say(4), say(4) + " more", say(5)
+    rows = [(None, a), (None, b), (7, c), (7, item + " " + e), (None, item), (1, d), (None, near), (2, near), (7, c), (None, ""), (None, ""), (9, ""), (9, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    clean = [tuple(r) for r in decontam.clean(docs, bench).collect()]
+    assert sorted(clean, key=str) == sorted((r for r in rows if item not in r[1]), key=str)
+    left = [tuple(r) for r in jaccard.representatives(docs).collect()]
+    assert sorted(left, key=str) == sorted([(None, a), (None, b), (7, c), (7, item + " " + e), (None, item), (1, d), (None, ""), (None, ""), (9, "")], key=str)
