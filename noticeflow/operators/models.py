@@ -66,8 +66,8 @@ def positive_weights(df: DataFrame, label: str, out: str = "_w") -> DataFrame:
         out, F.when(F.col(label) == 1, F.col("_r")).otherwise(F.lit(1.0))).drop("_r")
 
 
-# Hyper-parameter grids of the reference ("full"); the default
-# grid is the first value of each list, with the full grid as an option.
+# Hyper-parameter grids of the reference ("full"), which all
+# registered queries search; without it, only the first value of each list.
 CLASSIFIER_GRIDS = {
     "logreg": {"C": [0.01, 0.1, 1.0, 10.0]},
     "dt": {"max_depth": [5, 10, 15, 20], "min_samples_leaf": [10, 50, 100]},

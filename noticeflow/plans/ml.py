@@ -93,7 +93,7 @@ def _fit_classifier(spark, d, name):
     train = x.where(F.col("_is_test") == 0)
     train = (models.positive_weights(train, "label") if name == "gbt"
              else models.balanced_weights(train, "label"))
-    best, scores = models.tune(train, name, "classification")
+    best, scores = models.tune(train, name, "classification", full_grid=True)
     return best, scores, x.where(F.col("_is_test") == 1), pre
 
 
@@ -180,7 +180,7 @@ def _fit_regressor(spark, d, name):
     pre = features.fit_preprocessor(train, REG_CATEGORICAL, REG_NUMERIC)
     x = materialize(pre.transform(t).select("_row_key", "ID_NOTICE", "fold", "_is_test",
                                             "label", "features"))
-    best, scores = models.tune(x.where(F.col("_is_test") == 0), name, "regression")
+    best, scores = models.tune(x.where(F.col("_is_test") == 0), name, "regression", full_grid=True)
     return best, x.where(F.col("_is_test") == 1), pre
 
 

@@ -1,0 +1,22 @@
+"""The registered model queries search every setting of their grid."""
+
+import math
+
+import pytest
+
+from noticeflow.operators import models
+from noticeflow.plans import ml
+from tests.conftest import SF_SMALL
+
+
+@pytest.mark.parametrize("fit,name,grids,grid", [
+    (ml._fit_classifier, "dt", "CLASSIFIER_GRIDS", {"max_depth": [1, 2], "min_samples_leaf": [10]}),
+    (ml._fit_regressor, "rf", "REGRESSOR_GRIDS", {"n_estimators": [2], "max_depth": [1, 2]})])
+def test_whole_grid_is_searched(spark, monkeypatch, fit, name, grids, grid):
+    seen, tune = [], models.tune
+    monkeypatch.setitem(getattr(models, grids), name, grid)
+    monkeypatch.setattr(models, "tune", lambda *a, **b: seen.append(tune(*a, **b)) or seen[-1])
+    fit(spark, SF_SMALL, name)
+    scores = seen[0][1]
+    assert [s["max_depth"] for s, _ in scores] == [1, 2]
+    assert not any(math.isnan(v) for _, v in scores)
