@@ -41,9 +41,22 @@ def checkpointed(df: DataFrame) -> DataFrame:
     plan of a loop starts anew (a checkpointed plan would keep the constraints
     of all earlier rounds).
     """
-    path = f"{checkpoint_root(df.sparkSession)}/llm/{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{checkpoint_root(spark)}/llm/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    # the written plan is garbage now; when the driver collects it, Spark's cleaner frees its shuffle files
+    spark.sparkContext._jvm.System.gc()
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``checkpointed`` wrote and that nothing will read again."""
+    for df in tables:
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(df._written_to)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def words(text: Column) -> Column:

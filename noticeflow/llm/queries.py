@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from noticeflow.llm import bpe, chat, decontam, html, importance, jaccard, periodic, pii, quality, shards, suffix, toxicity
+from noticeflow.llm import bpe, chat, decontam, html, importance, jaccard, periodic, phrases, pii, quality, shards, suffix, toxicity
 from noticeflow.llm.common import documents
 
 
@@ -56,6 +56,10 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(pages, html.fit(pages))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.digest(phrases.dedup(documents(spark, sf_dir)))
+
+
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tenth of the documents, drawn towards the word distribution of the benchmark."""
     return importance.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_html_extraction": op9_html_extraction,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_substring_dedup": op11_substring_dedup,
     "op12_importance_resampling": op12_importance_resampling,
     "op13_periodic_runs": op13_periodic_runs,
 }

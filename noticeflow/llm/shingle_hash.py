@@ -34,8 +34,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 _POW: dict[str, np.ndarray] = {"f": powers(4096)}
 
 
-def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, first byte) of every word ``[^\\x20\\x09-\\x0D]+`` of lower-cased (A-Z) bytes.
+def word_hashes(raw: bytes, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, first byte) of every word ``[^\\x20\\x09-\\x0D]+`` of lower-cased (A-Z) bytes, or of the bytes as they are.
 
     A word's hash is a sum over its bytes of a random value per byte times a
     power for the place in the word, then mixed with the length.
@@ -43,7 +43,8 @@ def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     a = np.frombuffer(raw, np.uint8)
     if a.size == 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    a = _LOWER[a]
+    if lower:
+        a = _LOWER[a]
     space = _SPACE[a]
     edge = np.flatnonzero(np.diff(np.concatenate(([True], space, [True])).astype(np.int8)))
     start, end = edge[0::2], edge[1::2]
@@ -68,3 +69,18 @@ def shingles(words: np.ndarray, size: int) -> np.ndarray:
     for k in range(n):
         out = mix(out + words[k:words.size - n + 1 + k])
     return out
+
+
+def window_minima(h: np.ndarray, width: int) -> np.ndarray:
+    """Place of the least hash (by its upper half, then the leftmost) of every ``width`` neighbouring hashes."""
+    m = h.size
+    if m < width:
+        return np.zeros(0, np.int64)
+    key = (h >> np.uint64(32) << np.uint64(32)) | np.arange(m, dtype=np.uint64)
+    rows = -(-m // width)
+    grid = np.full(rows * width, np.uint64(2**64 - 1))
+    grid[:m] = key
+    grid = grid.reshape(rows, width)
+    head = np.minimum.accumulate(grid, 1).ravel()
+    tail = np.minimum.accumulate(grid[:, ::-1], 1)[:, ::-1].ravel()
+    return (np.minimum(tail[:m - width + 1], head[width - 1:m]) & np.uint64(0xFFFFFFFF)).astype(np.int64)
