@@ -121,6 +121,18 @@ class Preprocessor:
                [f"{c}_idx" for c in self.cat_cols] + [f"{c}_ohe" for c in self.cat_cols]
         return df.drop(*drop)
 
+    def coded(self, df: DataFrame) -> DataFrame:
+        """``_num``: the scaled numbers (null: NaN); ``_cat``: places in the
+        sorted category lists (an unseen one: the length of its list)."""
+        if self.numeric is not None:
+            df = self.numeric.transform(df)
+        if self.categorical is not None:
+            df = self.categorical.indexer.transform(self.categorical.fill(df))
+        num = [F.coalesce(F.col(c + "_scaled"), F.lit(float("nan"))) for c in self.num_cols]
+        cat = [F.col(f"{c}_idx").cast("int") for c in self.cat_cols]
+        df = df.withColumn("_num", F.array(*num).cast("array<double>")).withColumn("_cat", F.array(*cat).cast("array<int>"))
+        return df.drop(*[c + "_scaled" for c in self.num_cols], *[f"{c}_idx" for c in self.cat_cols])
+
     def feature_names(self) -> list[str]:
         cats = self.categorical.slot_names() if self.categorical is not None else []
         return list(self.num_cols) + cats

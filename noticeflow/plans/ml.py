@@ -77,24 +77,11 @@ def onehot_features(spark, d):
     return long.join(F.broadcast(slots), ["Column", "Category"])
 
 
-def _class_features(spark, d):
-    t = class_table(spark, d)
-    train = t.where(F.col("_is_test") == 0)
-    pre = features.fit_preprocessor(train, CLASS_CATEGORICAL, CLASS_NUMERIC)
-    cols = ["_row_key", "ID_NOTICE", "fold", "_is_test", "TARGET_MARKET_FAILURE"]
-    x = pre.transform(t.select(*cols, *CLASS_CATEGORICAL, *CLASS_NUMERIC)) \
-           .withColumn("label", F.col("TARGET_MARKET_FAILURE").cast("double"))
-    x = materialize(x.select(*cols, "label", "features"))
-    return x, pre
-
-
 def _fit_classifier(spark, d, name):
-    x, pre = _class_features(spark, d)
-    train = x.where(F.col("_is_test") == 0)
-    train = (models.positive_weights(train, "label") if name == "gbt"
-             else models.balanced_weights(train, "label"))
-    best, scores = models.tune(train, name, "classification", full_grid=True)
-    return best, scores, x.where(F.col("_is_test") == 1), pre
+    t = class_table(spark, d).withColumn("label", F.col("TARGET_MARKET_FAILURE").cast("double"))
+    t = materialize(t.select("_row_key", "ID_NOTICE", "fold", "_is_test", "label", *CLASS_CATEGORICAL, *CLASS_NUMERIC))
+    best, scores = models.search(t.where(F.col("_is_test") == 0), CLASS_CATEGORICAL, CLASS_NUMERIC, name, "classification")
+    return best, scores, t.where(F.col("_is_test") == 1), best.pre
 
 
 @query
@@ -175,40 +162,36 @@ def reg_table(spark, d) -> DataFrame:
 
 
 def _fit_regressor(spark, d, name):
-    t = reg_table(spark, d)
-    train = t.where(F.col("_is_test") == 0)
-    pre = features.fit_preprocessor(train, REG_CATEGORICAL, REG_NUMERIC)
-    x = materialize(pre.transform(t).select("_row_key", "ID_NOTICE", "fold", "_is_test",
-                                            "label", "features"))
-    best, scores = models.tune(x.where(F.col("_is_test") == 0), name, "regression", full_grid=True)
-    return best, x.where(F.col("_is_test") == 1), pre
+    t = materialize(reg_table(spark, d).select("_row_key", "ID_NOTICE", "fold", "_is_test", "label", *REG_CATEGORICAL, *REG_NUMERIC))
+    best, scores = models.search(t.where(F.col("_is_test") == 0), REG_CATEGORICAL, REG_NUMERIC, name, "regression")
+    return best, scores, t.where(F.col("_is_test") == 1)
 
 
 @query
 def deviation_lasso(spark, d):
     """Lasso on the log deviation ratio."""
-    m, test, _ = _fit_regressor(spark, d, "lasso")
+    m, _, test = _fit_regressor(spark, d, "lasso")
     return models.predictions(m, test, ["_row_key", "ID_NOTICE"])
 
 
 @query
 def deviation_forest(spark, d):
     """Random forest (all features considered at each split)."""
-    m, test, _ = _fit_regressor(spark, d, "rf")
+    m, _, test = _fit_regressor(spark, d, "rf")
     return models.predictions(m, test, ["_row_key", "ID_NOTICE"])
 
 
 @query
 def deviation_gbt(spark, d):
     """Gradient-boosted regressor."""
-    m, test, _ = _fit_regressor(spark, d, "gbt")
+    m, _, test = _fit_regressor(spark, d, "gbt")
     return models.predictions(m, test, ["_row_key", "ID_NOTICE"])
 
 
 @query
 def deviation_evaluation(spark, d):
     """E1 + F19: lasso test metrics on back-transformed ratios."""
-    m, test, _ = _fit_regressor(spark, d, "lasso")
+    m, _, test = _fit_regressor(spark, d, "lasso")
     p = models.predictions(m, test, ["_row_key"])
     return evaluate.regression_metrics(p, "label", "prediction",
                                        n_features=len(REG_CATEGORICAL + REG_NUMERIC),

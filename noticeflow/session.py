@@ -80,4 +80,19 @@ def materialize(df):
     root = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
     path = f"{root}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*tables) -> None:
+    """Delete tables that ``materialize`` wrote and that nothing reads again."""
+    for df in tables:
+        delete_folder(df.sparkSession, df._written_to)
+
+
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    """Remove a folder through Spark's file systems, wherever it is."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
