@@ -225,6 +225,7 @@ def recurring_passages(docs: DataFrame, size: int = SIZE) -> DataFrame:
     discard(recurring)
     of = passages.select("passage", "owner", F.explode("windows").alias("window"))
     sent = checkpointed(windows.join(of, "window").where("hi > owner").select("passage", "shard").distinct())
+    discard(stretches)
     return sent.join(passages.select("passage", "owner", "text"), "passage").select("shard", "owner", "text")
 
 
@@ -242,7 +243,7 @@ class Phrases:
                 places.setdefault(s[at:at + self.step], []).append((k, at))
         self.found = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
         for k, phrase in enumerate(places):
-            self.found.add_word(phrase, k)
+            self.found.add_word(self.letters(np.array(phrase)), k)
         self.found.make_automaton()
         # of each pattern: where in which passages
         many = np.array([len(p) for p in places.values()], np.int64)
@@ -254,13 +255,31 @@ class Phrases:
         for k, s in enumerate(split):
             self.words[k, :len(s)] = s
 
+    @staticmethod
+    def letters(numbers: np.ndarray) -> tuple[int, ...]:
+        """Two letters per word, of disjoint alphabets: a node's children are searched one
+        by one, so the root must not have one per word."""
+        out = np.empty(2 * numbers.size, np.int64)
+        out[0::2], out[1::2] = 256 + (numbers >> 8), numbers & 255
+        return tuple(out.tolist())
+
+    def hits(self, sequence: np.ndarray) -> list[tuple[int, int]]:
+        """(last word, pattern) of all phrases in the stretches of known words that hold a window."""
+        known = np.concatenate(([False], sequence > 0, [False]))
+        edge = np.flatnonzero(known[1:] != known[:-1])
+        out = []
+        for a, z in zip(edge[0::2].tolist(), edge[1::2].tolist()):
+            if z - a >= self.size:
+                out += [(a + (end >> 1), k) for end, k in self.found.iter(self.letters(sequence[a:z]))]
+        return out
+
     def covered(self, words: list[bytes], doc: int) -> np.ndarray | None:
         """Which words of a document a passage of a smaller owner covers; None for none."""
         n = len(words)
         if n < self.size or not self.owner.size:
             return None
-        sequence = tuple(map(self.numbers.get, words, repeat(0)))
-        hits = list(self.found.iter(sequence))
+        sequence = np.fromiter(map(self.numbers.get, words, repeat(0)), np.int64, n)
+        hits = self.hits(sequence)
         if not hits:
             return None
         end, phrase = np.array(hits, np.int64).T
@@ -273,7 +292,7 @@ class Phrases:
         pairs = np.unique(passage[earlier] * (n + 2 * self.width) + begin[earlier])
         if not pairs.size:
             return None
-        text = np.concatenate((np.zeros(self.width, np.int64), np.array(sequence, np.int64), np.zeros(2 * self.width, np.int64)))
+        text = np.concatenate((np.zeros(self.width, np.int64), sequence, np.zeros(2 * self.width, np.int64)))
         marks = np.zeros(text.size + 1, np.int64)
         for a in range(0, pairs.size, PAIRS):
             passage, begin = np.divmod(pairs[a:a + PAIRS], n + 2 * self.width)
