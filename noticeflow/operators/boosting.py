@@ -203,6 +203,19 @@ def predict(trees: list[dict], bins: Bins, base: float, num: np.ndarray, cat: np
     return out
 
 
+def root_gain(t: Table, model: "BoostedModel") -> float:
+    """Gain of the first tree's root on the rows of ``t`` (0 if it does not split)."""
+    tree, codes = model.trees[0], model.bins.codes(t.num, t.cat)
+    if tree["left"][0] == 0:
+        return 0.0
+    task = model.task
+    g, h = _derivatives(task, np.full(len(t.y), model.base), t.y, t.w)
+    code = codes[:, tree["column"][0]]
+    left = code <= tree["bin"][0] if tree["column"][0] < len(model.bins.cuts) else code == tree["bin"][0]
+    part = lambda m: g[m].sum() ** 2 / (h[m].sum() + LAMBDA)
+    return float(part(left) + part(~left) - part(np.ones(len(left), bool)))
+
+
 def macro_f1(y: np.ndarray, p: np.ndarray) -> float:
     scores = []
     for c in np.union1d(y, p):

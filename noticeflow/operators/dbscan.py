@@ -9,7 +9,8 @@ numbered in the order a sequential scan in ``pos`` order would find them
 (by the smallest position of their core points), so the result does not
 depend on partitioning.
 
-Plan, with no row cap and no pair enumeration inside a group:
+Plan, with no row cap, no pair enumeration inside a group and no table of close
+pairs:
 
 1. identical vectors collapse into one weighted *site* (a hot duplicate
    becomes one row);
@@ -19,11 +20,18 @@ Plan, with no row cap and no pair enumeration inside a group:
 3. cell pairs that can hold neighbours are found on the cell table alone
    (an equi-join on blocks of ``floor(sqrt(d)) + 1`` cells and the 3^d
    neighbouring blocks); a pair whose farthest corners are within ``eps``
-   counts by weight, only the remaining *partial* pairs compare points;
-4. core cells are linked by min-label propagation with pointer jumping
+   counts by weight. A cell that holds ``min_samples`` points with its full
+   neighbours is core without looking at its points;
+4. what is left is answered by *descent*: cells are cut into sub-cells of half
+   the side, known by the tight box around their points. A sub-cell inside the
+   radius counts whole, one outside is dropped, only those on the edge are cut
+   again, and a question ends with its first sufficient answer: a site with
+   ``min_samples`` neighbours, two core cells with one close pair (the first
+   points of two sub-cells are tried as witnesses at each step);
+5. core cells are linked by min-label propagation with pointer jumping
    (a cell takes its label's label), so chains converge in about
-   log(diameter) rounds; a reliable checkpoint per round, until no label
-   changes.
+   log(diameter) rounds; a written table per round, until no label
+   changes. The join on labels is salted, as one cluster may own most cells.
 """
 
 from __future__ import annotations
@@ -55,6 +63,88 @@ def _box(a: Column, b: Column, dim: int, far: bool) -> Column:
     return sum((g(i) * g(i) for i in range(1, dim)), g(0) * g(0)).cast("double")
 
 
+#: Halvings of a cell before points are compared with points, and parts of a hot label.
+LEVELS, SALTS = 8, 8
+
+
+def _nodes(members: DataFrame, level: int, side: float, dim: int) -> DataFrame:
+    """Sub-cells of the members' cells: key, key of the parent, tight box, weight, one of the points."""
+    key = F.array(*[F.floor(F.col("_vec")[i] / side * float(1 << level)) for i in range(dim)])
+    t = members.select("_fc", "_sid", "_vec", "_w", key.alias("_key")).groupBy("_fc", "_key").agg(
+        F.array(*[F.min(F.col("_vec")[i]) for i in range(dim)]).alias("_lo"), F.array(*[F.max(F.col("_vec")[i]) for i in range(dim)]).alias("_hi"),
+        F.sum("_w").alias("_w"), F.min(F.struct("_sid", "_vec")).alias("_one"))
+    return t.select("_fc", "_key", F.array(*[F.floor(F.col("_key")[i] / 2) for i in range(dim)]).alias("_up"), "_lo", "_hi", "_w", F.col("_one._vec").alias("_one"))
+
+
+def _sum_sq(terms: list[Column]) -> Column:
+    return sum((t * t for t in terms[1:]), terms[0] * terms[0])
+
+
+def _least_sq(a_lo: Column, a_hi: Column, b_lo: Column, b_hi: Column, dim: int) -> Column:
+    return _sum_sq([F.greatest(F.lit(0.0), b_lo[i] - a_hi[i], a_lo[i] - b_hi[i]) for i in range(dim)])
+
+
+def _most_sq(a_lo: Column, a_hi: Column, b_lo: Column, b_hi: Column, dim: int) -> Column:
+    return _sum_sq([F.greatest(a_hi[i] - b_lo[i], b_hi[i] - a_lo[i]) for i in range(dim)])
+
+
+def _neighbours(asked: DataFrame, group: list[str], members: DataFrame, side: float, dim: int, eps2: float, witness: bool) -> DataFrame:
+    """The groups of ``asked`` (point _va, cell _b, _need) whose points have
+    members of weight _need within the radius.
+
+    ``witness``: a need of one point, so a sub-cell's first point may answer."""
+    c = F.col
+    kept = [*dict.fromkeys([*group, "_sid", "_va", "_b", "_need"])]
+    open_, key, met = asked.select(*kept), None, []
+    seen = None  # (group, weight found so far)
+    for level in range(LEVELS + 1):
+        nodes = _nodes(members, level, side, dim).withColumnRenamed("_fc", "_b")
+        f = open_.join(nodes, "_b") if key is None else open_.join(nodes, (open_["_b"] == nodes["_b"]) & (open_["_k"] == nodes["_up"])).drop(nodes["_b"])
+        inside = _most_sq(c("_va"), c("_va"), c("_lo"), c("_hi"), dim) <= eps2
+        if witness:
+            inside = inside | (_sq(c("_va"), c("_one"), dim) <= eps2)
+        f = f.where(_least_sq(c("_va"), c("_va"), c("_lo"), c("_hi"), dim) <= eps2)
+        f = materialize(f.select(*kept, c("_key").alias("_k"), inside.alias("_in"), "_w"))
+        now = f.where("_in").groupBy(*group).agg(F.sum("_w").alias("_w"), F.max("_need").alias("_need"))
+        seen = now if seen is None else seen.unionByName(now).groupBy(*group).agg(F.sum("_w").alias("_w"), F.max("_need").alias("_need"))
+        seen = materialize(seen)
+        done = seen.where("_w >= _need").select(*group)
+        open_, key = materialize(f.where("not _in").join(done, group, "left_anti").select(*kept, "_k")), "_k"
+        if open_.isEmpty():
+            return done
+    last = members.select(c("_fc").alias("_b"), "_vec", "_w", F.array(*[F.floor(c("_vec")[i] / side * float(1 << LEVELS)) for i in range(dim)]).alias("_k"))
+    now = open_.join(last, ["_b", "_k"]).where(_sq(c("_va"), c("_vec"), dim) <= eps2).groupBy(*group).agg(F.sum("_w").alias("_w"), F.max("_need").alias("_need"))
+    return materialize(seen.unionByName(now).groupBy(*group).agg(F.sum("_w").alias("_w"), F.max("_need").alias("_need")).where("_w >= _need").select(*group))
+
+
+def _linked(pairs: DataFrame, members: DataFrame, side: float, dim: int, eps2: float) -> DataFrame:
+    """The cell pairs (_a, _b) with a close pair of members, by descent on both sides."""
+    c = F.col
+    open_, found = pairs, None
+    for level in range(LEVELS + 1):
+        nodes = _nodes(members, level, side, dim)
+        a = nodes.select(*[c(x).alias(x + "a") for x in nodes.columns])
+        b = nodes.select(*[c(x).alias(x + "b") for x in nodes.columns])
+        if level == 0:
+            f = open_.join(a, c("_a") == c("_fca")).join(b, c("_b") == c("_fcb"))
+        else:
+            f = open_.join(a, (c("_a") == c("_fca")) & (c("_ka") == c("_upa"))).join(b, (c("_b") == c("_fcb")) & (c("_kb") == c("_upb")))
+        close = (_most_sq(c("_loa"), c("_hia"), c("_lob"), c("_hib"), dim) <= eps2) | (_sq(c("_onea"), c("_oneb"), dim) <= eps2)
+        f = f.where(_least_sq(c("_loa"), c("_hia"), c("_lob"), c("_hib"), dim) <= eps2)
+        f = materialize(f.select("_a", "_b", c("_keya").alias("_ka"), c("_keyb").alias("_kb"), close.alias("_in")))
+        now = f.where("_in").select("_a", "_b").distinct()
+        found = materialize(now if found is None else found.unionByName(now))
+        open_ = materialize(f.join(now, ["_a", "_b"], "left_anti").select("_a", "_b", "_ka", "_kb"))
+        if open_.isEmpty():
+            return found
+    key = F.array(*[F.floor(c("_vec")[i] / side * float(1 << LEVELS)) for i in range(dim)])
+    last = members.select("_fc", "_vec", key.alias("_k"))
+    a = last.select(c("_fc").alias("_a"), c("_k").alias("_ka"), c("_vec").alias("_va"))
+    b = last.select(c("_fc").alias("_b"), c("_k").alias("_kb"), c("_vec").alias("_vb"))
+    now = open_.join(a, ["_a", "_ka"]).join(b, ["_b", "_kb"]).where(_sq(c("_va"), c("_vb"), dim) <= eps2).select("_a", "_b").distinct()
+    return materialize(found.unionByName(now))
+
+
 def dbscan(df: DataFrame, pos: str, vec: str, dim: int, eps: float = 0.5,
            min_samples: int = 5, out: str = "cluster") -> DataFrame:
     """Label every row of ``df`` (``vec``: array<double> of length ``dim``;
@@ -84,34 +174,26 @@ def dbscan(df: DataFrame, pos: str, vec: str, dim: int, eps: float = 0.5,
                  .select("_a", "_b", "_Wb", "_full")
     pairs = materialize(pairs)
 
-    # neighbourhood weights: own cell + fully-covered cells + partial pairs
+    # neighbourhood weights: own cell + fully-covered cells; sites of other cells ask for the rest
     full_w = pairs.where("_full").groupBy(F.col("_a").alias("_fc")).agg(F.sum("_Wb").alias("_fw"))
-    own = cells.select("_fc", F.col("_W").alias("_ow"))
-    sa = sites.select("_sid", "_fc", F.col("_vec").alias("_va"))
-    sb = sites.select(F.col("_sid").alias("_sidb"), F.col("_fc").alias("_b"),
-                      F.col("_vec").alias("_vb"), F.col("_w").alias("_wb"))
-    part = pairs.where(~F.col("_full")).select(F.col("_a").alias("_fc"), "_b")
-    close = sa.join(part, "_fc").join(sb, "_b").where(_sq(F.col("_va"), F.col("_vb"), dim) <= eps2) \
-              .select("_sid", "_fc", "_sidb", "_b", "_wb")
-    close = materialize(close)
-    pw = close.groupBy("_sid").agg(F.sum("_wb").alias("_pw"))
-    n = sites.join(own, "_fc").join(full_w, "_fc", "left").join(pw, "_sid", "left") \
-             .withColumn("_n", F.col("_ow") + F.coalesce("_fw", F.lit(0)) + F.coalesce("_pw", F.lit(0)))
-    sites_n = materialize(n.withColumn("_core", F.col("_n") >= min_samples)
-                           .select("_sid", "_fc", "_vec", "_core"))
+    known = materialize(cells.join(full_w, "_fc", "left").select("_fc", (F.col("_W") + F.coalesce("_fw", F.lit(0))).alias("_have")))
+    part = pairs.where(~F.col("_full")).select("_a", "_b")
+    unsure = sites.join(known.where(F.col("_have") < min_samples), "_fc")
+    asked = unsure.join(part.withColumnRenamed("_a", "_fc"), "_fc") \
+                  .select("_sid", F.col("_vec").alias("_va"), "_b", (F.lit(min_samples) - F.col("_have")).alias("_need"))
+    crowded = _neighbours(asked, ["_sid"], sites, s, dim, eps2, witness=False)
+    marked = sites.join(known, "_fc").join(crowded.select("_sid", F.lit(True).alias("_met")), "_sid", "left")
+    sites_n = materialize(marked.select("_sid", "_fc", "_vec", "_w", ((F.col("_have") >= min_samples) | F.coalesce("_met", F.lit(False))).alias("_core")))
 
     # core cells and their links
     core = sites_n.where("_core")
     ccell = core.groupBy("_fc").agg(F.min("_sid").alias("_lab"))
     cset = ccell.select(F.col("_fc").alias("_x"))
-    e_full = pairs.where("_full").select("_a", "_b") \
-                  .join(cset.withColumnRenamed("_x", "_a"), "_a", "left_semi") \
-                  .join(cset.withColumnRenamed("_x", "_b"), "_b", "left_semi")
-    cs = core.select("_sid")
-    e_part = close.join(cs, "_sid", "left_semi") \
-                  .join(cs.withColumnRenamed("_sid", "_sidb"), "_sidb", "left_semi") \
-                  .select(F.col("_fc").alias("_a"), "_b")
-    edges = materialize(e_full.unionByName(e_part).distinct())
+    both = pairs.select("_a", "_b", "_full").join(cset.withColumnRenamed("_x", "_a"), "_a", "left_semi") \
+                .join(cset.withColumnRenamed("_x", "_b"), "_b", "left_semi")
+    e_part = _linked(both.where(~F.col("_full") & (F.col("_a") < F.col("_b"))).select("_a", "_b"), core, s, dim, eps2)
+    edges = both.where("_full").select("_a", "_b").unionByName(e_part).unionByName(e_part.select(F.col("_b").alias("_a"), F.col("_a").alias("_b")))
+    edges = materialize(edges.distinct())
 
     # node id of a core cell = its smallest core site; labels are node ids
     lab = materialize(ccell.select("_fc", F.col("_lab").alias("_id"), "_lab"))
@@ -122,8 +204,9 @@ def dbscan(df: DataFrame, pos: str, vec: str, dim: int, eps: float = 0.5,
                     .select("_fc", "_id", F.least("_lab", F.coalesce("_nl", "_lab")).alias("_lab"),
                             F.coalesce(F.col("_nl") < F.col("_lab"), F.lit(False)).alias("_chg"))
         # pointer jumping: take the label of the node named by the label
-        ref = hooked.select(F.col("_id").alias("_lab"), F.col("_lab").alias("_ll"))
-        new = materialize(hooked.join(ref, "_lab", "left").select(
+        ref = hooked.select(F.col("_id").alias("_lab"), F.col("_lab").alias("_ll"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+        salted = hooked.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int"))
+        new = materialize(salted.join(ref, ["_lab", "_salt"], "left").select(
             "_fc", "_id", F.least("_lab", F.coalesce("_ll", "_lab")).alias("_lab"),
             (F.col("_chg") | F.coalesce(F.col("_ll") < F.col("_lab"), F.lit(False))).alias("_chg")))
         changed = new.where("_chg").limit(1).count()
@@ -134,15 +217,17 @@ def dbscan(df: DataFrame, pos: str, vec: str, dim: int, eps: float = 0.5,
 
     ids = ordered.global_index(lab.select("_lab").distinct(), ["_lab"], idx="_cid")
     cell_cid = lab.join(ids, "_lab").select("_fc", "_cid")
-    core_lab = sites_n.where("_core").join(cell_cid, "_fc").select("_sid", "_cid")
+    core_lab = core.join(cell_cid, "_fc").select("_sid", "_cid")
 
     # border sites: smallest cluster among the core sites within eps
     border = sites_n.where(~F.col("_core")).select("_sid", "_fc")
     via_own = border.join(cell_cid, "_fc")
     via_full = border.join(pairs.where("_full").select(F.col("_a").alias("_fc"), "_b"), "_fc") \
                      .join(cell_cid.withColumnRenamed("_fc", "_b"), "_b")
-    via_part = close.join(border.select("_sid"), "_sid", "left_semi") \
-                    .join(core_lab.withColumnRenamed("_sid", "_sidb"), "_sidb")
+    ask = border.join(sites_n.select("_sid", "_vec"), "_sid").join(part.withColumnRenamed("_a", "_fc"), "_fc") \
+                .join(cset.withColumnRenamed("_x", "_b"), "_b", "left_semi") \
+                .select("_sid", F.col("_vec").alias("_va"), "_b", F.lit(1).alias("_need"))
+    via_part = _neighbours(ask, ["_sid", "_b"], core, s, dim, eps2, witness=True).join(cell_cid.withColumnRenamed("_fc", "_b"), "_b")
     border_lab = via_own.select("_sid", "_cid").unionByName(via_full.select("_sid", "_cid")) \
                         .unionByName(via_part.select("_sid", "_cid")) \
                         .groupBy("_sid").agg(F.min("_cid").alias("_cid"))

@@ -105,7 +105,7 @@ class Preprocessor:
             df = enc.indexer.transform(enc.fill(df))
             ohe_cols = [f"{c}_ohe" for c in self.cat_cols]
             df = OneHotEncoder(inputCols=[f"{c}_idx" for c in self.cat_cols], outputCols=ohe_cols,
-                               dropLast=True, handleInvalid="keep").fit(df).transform(df)
+                               dropLast=True).fit(df).transform(df)
             parts += ohe_cols
         keep = list(range(pos))
         if self.categorical is not None:

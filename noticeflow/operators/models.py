@@ -46,7 +46,7 @@ def balanced_weights(df: DataFrame, label: str, out: str = "_w") -> DataFrame:
     return df.join(F.broadcast(w), label)
 
 
-def _class_ratio(df: DataFrame) -> float:
+def class_ratio(df: DataFrame) -> float:
     """``scale_pos_weight``: #neg / #pos (1 if there are none)."""
     r = df.agg(F.count_if(F.col("label") == 0), F.count_if(F.col("label") == 1)).first()
     return r[0] / r[1] if r[1] else 1.0
@@ -220,7 +220,7 @@ def search(df: DataFrame, cats: list[str], nums: list[str], name: str, task: str
         return pre, materialize(pre.transform(keep).select("_row_key", "label", fold_col, "features"))
 
     if name == "gbt":
-        positive = {k: _class_ratio(df if k is None else df.where(F.col(fold_col) != k)) if task == "classification" else None for k in (None, *folds)}
+        positive = {k: class_ratio(df if k is None else df.where(F.col(fold_col) != k)) if task == "classification" else None for k in (None, *folds)}
         drawn = boosting.sampled(df, "_row_key", boosting.ROWS)
         pre_of = {k: fit_preprocessor(df if k is None else df.where(F.col(fold_col) != k), cats, nums) for k in (None, *folds)}
         tables = {k: boosting.table(drawn, pre_of[k], positive[k], fold_col) for k in (None, *folds)}

@@ -6,11 +6,13 @@ rows only (their numbers depend on Spark ML's solvers).
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noticeflow.operators import cluster, dbscan, evaluate, features, models, split
+from noticeflow.operators import boosting, cluster, dbscan, evaluate, features, models, optimality, split
 from noticeflow.operators.profile import sig
 from noticeflow.plans import analytics
 from noticeflow.plans import queries as base
@@ -84,6 +86,44 @@ def _fit_classifier(spark, d, name):
     return best, scores, t.where(F.col("_is_test") == 1), best.pre
 
 
+def _class_train(spark, d, name):
+    """(fitted, its setting, training rows, their features with balanced weights)."""
+    t = class_table(spark, d).withColumn("label", F.col("TARGET_MARKET_FAILURE").cast("double"))
+    t = materialize(t.where(F.col("_is_test") == 0).select("_row_key", "fold", "label", *CLASS_CATEGORICAL, *CLASS_NUMERIC))
+    best, scores = models.search(t, CLASS_CATEGORICAL, CLASS_NUMERIC, name, "classification")
+    x = materialize(models.balanced_weights(best.pre.transform(t).select("label", "features"), "label"))
+    return best, max(scores, key=lambda v: v[1])[0], t, x
+
+
+@query
+def logreg_stationary(spark, d):
+    """M7: the penalised gradient vanishes at the fitted coefficients."""
+    best, setting, _, x = _class_train(spark, d, "logreg")
+    return optimality.logistic(x, best.model, 1.0 / setting["C"], best.pre)
+
+
+@query
+def tree_leaves(spark, d):
+    """M8: every leaf predicts the weighted majority of enough training rows."""
+    best, setting, _, x = _class_train(spark, d, "dt")
+    return optimality.tree_leaves(x, best.model, setting["min_samples_leaf"])
+
+
+@query
+def boosted_first_split(spark, d):
+    """M9: no category splits the root better than the first tree does (all rows, all columns drawn)."""
+    t = class_table(spark, d).withColumn("label", F.col("TARGET_MARKET_FAILURE").cast("double"))
+    t = materialize(t.where(F.col("_is_test") == 0).select("_row_key", "fold", "label", *CLASS_CATEGORICAL, *CLASS_NUMERIC))
+    pre = features.fit_preprocessor(t, CLASS_CATEGORICAL, CLASS_NUMERIC)
+    ratio = models.class_ratio(t)
+    sample = boosting.table(boosting.sampled(t, "_row_key", boosting.ROWS), pre, ratio, "fold")
+    model = boosting.fit_model(spark, sample, pre, "classification", {"n_estimators": 1, "learning_rate": 1.0, "max_depth": 1, "subsample": 1.0, "colsample_bytree": 1.0})
+    p = 1.0 / (1.0 + math.exp(-model.base))
+    # the two leaves tell the root's gain: value = -G / (H + 1)
+    root = boosting.root_gain(sample, model)
+    return optimality.first_split_gains(pre.coded(t).withColumn("_p", F.lit(p)), CLASS_CATEGORICAL, pre.categorical.labels, F.lit(float(ratio)), root)
+
+
 @query
 def failure_logreg(spark, d):
     """M7 + M13: balanced logistic regression, C chosen by grouped 3-fold CV."""
@@ -145,8 +185,41 @@ def grouped_importance(spark, d):
     """Importance summed back to each source column (exact mapping)."""
     m, _, _, pre = _fit_classifier(spark, d, "dt")
     t = _importance_table(spark, m, pre)
-    return t.groupBy("Source").agg(F.sum("Importance").alias("Importance")) \
-            .orderBy(F.desc("Importance"))
+    return _grouped(t).orderBy(F.desc("Importance"))
+
+
+def _grouped(t: DataFrame) -> DataFrame:
+    return t.groupBy("Source").agg(F.sum("Importance").alias("Importance"))
+
+
+@query
+def importance_sums(spark, d):
+    """E10 + E11: slots per column, sums of their importances."""
+    m, _, _, pre = _fit_classifier(spark, d, "dt")
+    t = materialize(_importance_table(spark, m, pre))
+    return optimality.importance(t, _grouped(t))
+
+
+@query
+def evaluation_identities(spark, d):
+    """E1 + E2 + F19: reports agree with what the predictions themselves give."""
+    m, _, test, _ = _fit_classifier(spark, d, "logreg")
+    p = materialize(models.predictions(m, test, ["_row_key"]))
+    rep = evaluate.classification_report(p, "label", "prediction")
+    own = p.groupBy(F.col("label").cast("int").cast("string").alias("Label")).agg(
+        F.count(F.lit(1)).alias("_n"), F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("_recall"))
+    classes = rep.join(own, "Label").select(F.concat(F.lit("class "), "Label").alias("Part"), F.col("_n").alias("Rows"),
+                                            ((F.col("Support") == F.col("_n")) & (F.abs(F.col("Recall") - F.col("_recall")) < 1e-8)).alias("Agrees"))
+    m, _, test = _fit_regressor(spark, d, "lasso")
+    q = materialize(models.predictions(m, test, ["_row_key"]))
+    got = evaluate.regression_metrics(q, "label", "prediction", n_features=len(REG_CATEGORICAL + REG_NUMERIC), transform="ratio")
+    y, f = F.exp("label"), F.exp("prediction")
+    own = q.agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(y - f)).alias("_mae"), F.sqrt(F.avg(F.pow(y - f, 2))).alias("_rmse"),
+                (1 - F.sum(F.pow(y - f, 2)) / (F.count(F.lit(1)) * F.var_pop(y))).alias("_r2"), F.percentile(F.abs(y - f), 0.5).alias("_medae"))
+    near = lambda a, b: F.abs(F.col(a) - F.col(b)) <= 1e-6 * F.greatest(F.abs(F.col(b)), F.lit(1.0))
+    reg = got.crossJoin(own).select(F.lit("deviation").alias("Part"), F.col("n").alias("Rows"),
+                                    (near("MAE", "_mae") & near("RMSE", "_rmse") & near("R2", "_r2") & near("MedAE", "_medae")).alias("Agrees"))
+    return classes.unionByName(reg)
 
 
 # ----------------------------------------------------------------- regression
@@ -167,6 +240,27 @@ def _fit_regressor(spark, d, name):
     return best, scores, t.where(F.col("_is_test") == 1)
 
 
+def _reg_train(spark, d, name):
+    t = reg_table(spark, d)
+    t = materialize(t.where(F.col("_is_test") == 0).select("_row_key", "fold", "label", *REG_CATEGORICAL, *REG_NUMERIC))
+    best, scores = models.search(t, REG_CATEGORICAL, REG_NUMERIC, name, "regression")
+    return best, min(scores, key=lambda v: v[1])[0], materialize(best.pre.transform(t).select("label", "features"))
+
+
+@query
+def lasso_optimal(spark, d):
+    """Subgradient conditions of the lasso at the fitted coefficients."""
+    best, setting, x = _reg_train(spark, d, "lasso")
+    return optimality.lasso(x, best.model, setting["alpha"], best.pre)
+
+
+@query
+def forest_range(spark, d):
+    """Predictions of averaged trees stay inside the labels' range."""
+    best, _, x = _reg_train(spark, d, "rf")
+    return optimality.forest_range(x, best.model)
+
+
 @query
 def deviation_lasso(spark, d):
     """Lasso on the log deviation ratio."""
@@ -242,14 +336,56 @@ def gmm_segments(spark, d):
     return res.select("ID_NOTICE", "cluster", "probability")
 
 
+@query
+def gmm_diag_segments(spark, d):
+    """M6: 4 components with diagonal covariances, the reference's default form, best of 3 starts."""
+    x = cluster_input(spark, d).withColumn("vec", vector_to_array("features"))
+    res, _ = cluster.train_gmm_diag(x, len(CLUSTER_NUMERIC), 4, 3)
+    return res.select("ID_NOTICE", "cluster", "probability")
+
+
+@query
+def gmm_diag_moments(spark, d):
+    """M6, diagonal: moments of the mixture, and whether each step raised the likelihood."""
+    x = cluster_input(spark, d).withColumn("vec", vector_to_array("features"))
+    _, m = cluster.train_gmm_diag(x, len(CLUSTER_NUMERIC), 4, 3)
+    cov = [[[v if i == j else 0.0 for j in range(len(line))] for i, v in enumerate(line)] for line in m.variances]
+    t = optimality.mixture(spark, m.weights, m.means, cov, full=False, floor=1e-6)
+    rising = all(b >= a - 1e-9 for a, b in zip(m.history, m.history[1:]))
+    return t.select(F.col("I").alias("Feature"), "Mean", "Moment", F.lit(rising).alias("Monotone"))
+
+
+@query
+def gmm_moments(spark, d):
+    """M6, full: second moments of the mixture, per pair of features."""
+    _, m = cluster.train_gmm(cluster_input(spark, d), 4, 3)
+    return optimality.mixture(spark, list(m.weights), [g.mean.toArray().tolist() for g in m.gaussians], [g.cov.toArray().tolist() for g in m.gaussians])
+
+
+@query
+def kmeans_moments(spark, d):
+    """M3: the data's second moments split between and within the segments; nearest centroids."""
+    res, model = cluster.train_kmeans(cluster_input(spark, d), 4, 15)
+    centers = sorted(c.tolist() for c in model.clusterCenters())
+    return optimality.kmeans(res.withColumn("vec", vector_to_array("features")), centers)
+
+
 @query
 def pca_projection(spark, d):
     """2-D projection of the k-means segments, every row."""
     res, _ = cluster.train_kmeans(cluster_input(spark, d), 4, 15)
-    proj, ratio = cluster.pca_2d(res)
+    proj, _, _ = cluster.pca_2d(res)
     return proj.select("ID_NOTICE", "cluster", "PC1", "PC2")
 
 
+@query
+def pca_explained(spark, d):
+    """Explained variance of both components, and what makes them principal axes."""
+    x = cluster_input(spark, d).withColumn("cluster", F.lit(0))
+    proj, ratio, loadings = cluster.pca_2d(x)
+    return optimality.components(proj, ratio, loadings)
+
+
 @query
 def dbscan_clusters(spark, d):
     """M5: density clusters (eps 0.5, min 30 points) over every notice; no row cap."""

@@ -59,3 +59,37 @@ def test_embeddings_sample(spark):
     rows = df.select("vec_id", F.slice("embedding", 1, 4).alias("v")).collect()
     pts = np.array([[float(x) for x in r.v] for r in rows])
     assert _run(spark, pts, 0.35, 4) == brute(pts, 0.35, 4)
+
+
+def test_dense_cells_and_their_edges(spark):
+    """Cells of many points, cells that nearly touch, points just inside and outside the radius."""
+    rng = np.random.default_rng(3)
+    blob = rng.uniform(0, 0.34, (150, 2))
+    near = rng.uniform(0, 0.2, (60, 2)) + [0.34 + 0.3, 0]
+    apart = rng.uniform(0, 0.2, (60, 2)) + [0.34 + 0.3 + 0.2 + 0.51, 0]
+    border = np.array([[-0.45, 0.1], [-0.51, 0.1], [0.1, 0.83], [0.1, 0.86]])
+    pts = np.vstack([blob, near, apart, border])
+    for eps, least in ((0.5, 8), (0.5, 100), (0.2, 30)):
+        assert _run(spark, pts, eps, least) == brute(pts, eps, least)
+
+
+def test_work_on_one_blob_is_about_linear(spark, monkeypatch):
+    """Rows that the descent looks at for 2,000 and 8,000 points in one blob."""
+    from noticeflow.operators import dbscan as module
+    seen = []
+    plain = module.materialize
+
+    def counted(df):
+        out = plain(df)
+        if "_in" in out.columns:
+            seen.append(out.count())
+        return out
+    monkeypatch.setattr(module, "materialize", counted)
+    work = []
+    for n in (2000, 8000):
+        seen.clear()
+        pts = np.random.default_rng(1).normal(0, 0.3, (n, 3))
+        lab = _run(spark, pts, 0.5, 10)
+        assert lab.count(0) > 0.98 * n
+        work.append(sum(seen))
+    assert work[1] < 8 * work[0]

@@ -61,8 +61,8 @@ def test_penalty_and_weights_follow_the_fold(rows, monkeypatch):
     monkeypatch.setattr(models, "_classifier", lambda name, s, wsum=None: seen.append(wsum) or plain(name, s, wsum))
     models.search(rows, CATS, NUMS, "logreg", "classification", grid={"C": [1.0]})
     assert sorted(round(w) for w in seen) == [240, 240, 240, 360]  # balanced weights sum to the rows of the part
-    ratios, plain_ratio = [], models._class_ratio
-    monkeypatch.setattr(models, "_class_ratio", lambda df: ratios.append(plain_ratio(df)) or ratios[-1])
+    ratios, plain_ratio = [], models.class_ratio
+    monkeypatch.setattr(models, "class_ratio", lambda df: ratios.append(plain_ratio(df)) or ratios[-1])
     models.search(rows, CATS, NUMS, "gbt", "classification", grid={"n_estimators": [2], "learning_rate": [0.1], "max_depth": [2], "subsample": [1.0], "colsample_bytree": [1.0]})
     assert len(set(ratios)) == 4
 
