@@ -61,6 +61,27 @@ NUMERIC = ["n_digits", "n_letters", "n_capitals", "n_separators", "n_distinct",
 FEATURES = ["length", *NUMERIC, "keyword", "assigned", "quoted", "after_letter", "before_letter", "plus", *(f"is_{k}" for k in KINDS)]
 
 
+def _bound(x: Column, use) -> Column:
+    """``use(x)`` with x evaluated once; inside a lambda a plain column would be evaluated for each element."""
+    return F.transform(F.array(x), use)[0]
+
+
+#: Elements whose results are gathered before they join the others'.
+PART = 64
+
+
+def _in_parts(rows: Column, start: Column, step, kind: str) -> Column:
+    """The ``out`` array of an aggregate with state (at, out), gathered in parts of ``PART``
+    elements: appending one by one would copy all earlier elements each time."""
+    parts = _bound(rows, lambda r: F.transform(F.sequence(F.lit(0), F.greatest(F.size(r) - 1, F.lit(0)), F.lit(PART)), lambda i: F.slice(r, i + 1, PART)))
+
+    def whole(acc: Column, part: Column) -> Column:
+        done = F.aggregate(part, F.struct(acc["at"].alias("at"), F.array().cast(kind).alias("out")), step)
+        return F.struct(done["at"].alias("at"), F.concat(acc["out"], F.array(done["out"])).alias("out"))
+    zero = F.struct(start["at"].alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
+    return F.flatten(F.aggregate(parts, zero, whole, lambda a: a["out"]))
+
+
 def _spans(text: Column, kind: str, pattern: str, needs: str | None = None) -> Column:
     """array<struct<kind, start, end, hit, before, after>> of all leftmost non-overlapping matches.
 
@@ -77,9 +98,9 @@ def _spans(text: Column, kind: str, pattern: str, needs: str | None = None) -> C
         one = F.struct(F.lit(kind).alias("kind"), start.cast("int").alias("start"), stop.cast("int").alias("stop"), x["h"].alias("hit"),
                        F.right(x["g"], F.lit(CONTEXT)).alias("before"), F.left(x["n"], F.lit(2)).alias("after"))
         return F.struct(stop.cast("int").alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
-    rows = F.transform(hits, lambda h, i: F.struct(h.alias("h"), F.get(gaps, i).alias("g"), F.get(gaps, i + 1).alias("n")))
+    rows = _bound(gaps, lambda g: F.transform(hits, lambda h, i: F.struct(h.alias("h"), F.get(g, i).alias("g"), F.get(g, i + 1).alias("n"))))
     start = F.struct(F.lit(0).alias("at"), F.array().cast(kinds).alias("out"))
-    found = F.aggregate(rows, start, step, lambda a: a["out"])
+    found = _in_parts(rows, start, step, kinds)
     test = F.size(gaps) > 1
     if needs is not None:
         test = F.contains(text, F.lit(needs)) & test
@@ -171,15 +192,13 @@ def _node(n) -> tuple:
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Trees and thresholds from the candidates of all documents."""
     some = candidates(df.select(id_col, text_col), [id_col], text_col)
-    rows = None
-    for origin in ("base", "failed", "extra"):
-        part = some.select("base", F.explode(origin).alias("s"), F.lit(origin).alias("origin"))
-        rows = part if rows is None else rows.union(part)
+    tagged = lambda origin: F.transform(origin, lambda s: F.struct(F.lit(origin).alias("origin"), s.alias("s")))
+    rows = some.select("base", F.explode(F.concat(*map(tagged, ("base", "failed", "extra")))).alias("o")).select("base", "o.origin", "o.s")
     s = F.col("s")
     # one vote per text of a candidate: copies of a document don't count again
     rows = rows.select(F.crc32(s["hit"].cast("binary")).alias("h"), s["kind"].alias("kind"), _weak_label(s, F.col("origin"), F.col("base")).alias("label"),
                        F.array(*[c.alias(k) for k, c in _features(s).items()]).alias("x")).where("label is not null")
-    rows = rows.groupBy("h", "kind", "label").agg(F.first("x").alias("x"))
+    rows = rows.groupBy("h", "kind", "label").agg(F.min("x").alias("x"))
     rows = checkpointed(rows)
     train = rows.where(F.col("h") % 4 != 0)
     sizes = train.groupBy("kind", "label").count().collect()  # at most two per kind
@@ -191,7 +210,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
     if sum(r["count"] for r in sizes) <= CANDIDATES:
         share = F.lit(1.0)
     train = train.withColumn("share", share).where(F.crc32(F.col("h").cast("string").cast("binary")) < F.col("share") * 2**32)
-    train = checkpointed(train.select("label", (1 / F.col("share")).alias("weight"), "x").coalesce(1)).select("label", "weight", array_to_vector("x").alias("features"))
+    train = checkpointed(train.select("label", (1 / F.col("share")).alias("weight"), "x").repartition(1)).select("label", "weight", array_to_vector("x").alias("features"))
     gbt = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7, cacheNodeIds=False, weightCol="weight").fit(train)
     model = Model([(float(w), _node(t._call_java("rootNode"))) for w, t in zip(gbt.treeWeights, gbt.trees)])
     probability = model.score({k: F.col("x")[i] for i, k in enumerate(FEATURES)})
