@@ -18,7 +18,8 @@ salted parts of a shard, so no window holds a whole shard.
 Rows: size is the UTF-8 bytes of the text plus 16; a null text has none, and
 its group is that of the empty text; repeated rows get slots of their own; an
 empty table gives an empty table; other columns are not read. A group larger
-than an even share makes its shard as large as it is.
+than an even share has a shard of its own, as large as it is; the others share
+what is left evenly.
 """
 
 from __future__ import annotations
@@ -109,6 +110,52 @@ def cut_keys(groups: DataFrame, shards: int) -> list[str]:
     return []
 
 
+def _shard(cuts: list[str]) -> Column:
+    out: Column = F.lit(0)
+    for c in cuts:
+        out = out + F.when(F.col("key") >= c, 1).otherwise(0)
+    return out.cast("int")
+
+
+def _largest(groups: DataFrame, cuts: list[str]) -> int:
+    return groups.groupBy(_shard(cuts).alias("s")).agg(F.sum("bytes").alias("b")).agg(F.max("b")).first()[0] or 0
+
+
+def even_cuts(groups: DataFrame, shards: int) -> list[str]:
+    """First md5 of every shard but the first.
+
+    A group of more than an even share sets the smallest capacity, and filling all
+    shards up to it would leave most of them empty. Such a group gets a shard of
+    its own, and each stretch between these groups an own minimax partition, with
+    shards in proportion to its bytes, as long as no shard grows beyond the smallest capacity.
+    """
+    plain = cut_keys(groups, shards)
+    total = groups.agg(F.sum("bytes")).first()[0] or 0
+    large = sorted((r.bytes, r.key) for r in groups.where(F.col("bytes") * shards > total).collect())  # fewer than ``shards``
+    if shards < 2 or not large:
+        return plain
+    capacity = _largest(groups, plain)
+    for k in range(len(large)):
+        own = sorted(key for _, key in large[k:])
+        place = F.size(F.filter(F.array(*map(F.lit, own)), lambda x: x < F.col("key")))
+        rest = groups.where(~F.col("key").isin(own)).withColumn("stretch", place)
+        sizes = {r.stretch: (r.b, r.first) for r in rest.groupBy("stretch").agg(F.sum("bytes").alias("b"), F.min("key").alias("first")).collect()}
+        if len(own) + len(sizes) > shards:
+            continue
+        many = dict.fromkeys(sizes, 1)
+        for _ in range(shards - len(own) - len(sizes)):
+            if many:
+                many[max(many, key=lambda x: (sizes[x][0] / many[x], -x))] += 1
+        starts = {*own, *(first for _, first in sizes.values())}
+        for x, n in many.items():
+            if n > 1:
+                starts.update(cut_keys(rest.where(F.col("stretch") == x).select("key", "bytes"), n))
+        cuts = sorted(starts)[1:]
+        if _largest(groups, cuts) <= capacity:
+            return cuts
+    return plain
+
+
 def assign(df: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, size, text_crc32, law, shard, slot, grown_shard) of every row, by law ``bytes``."""
     raw = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
@@ -116,12 +163,9 @@ def assign(df: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: st
                      F.crc32(raw).alias("text_crc32"), F.md5(raw).alias("key"))
     rows = checkpointed(rows)
     groups = checkpointed(rows.groupBy("key").agg(F.sum("size").alias("bytes")))
-    cuts = cut_keys(groups, shards)
-    shard: Column = F.lit(0)
-    for c in cuts:
-        shard = shard + F.when(F.col("key") >= c, 1).otherwise(0)
+    cuts = even_cuts(groups, shards)
     parts = max(8, rows.count() // (shards * PART_ROWS) + 1)
-    salted = rows.withColumn("shard", shard.cast("int")).withColumn("part", F.pmod(F.xxhash64("id", "key"), F.lit(parts)).cast("int"))
+    salted = rows.withColumn("shard", _shard(cuts)).withColumn("part", F.pmod(F.monotonically_increasing_id(), F.lit(parts)).cast("int"))
     counts = salted.groupBy("shard", "part").agg(F.count("*").alias("n"))
     before = counts.withColumn("base", F.sum("n").over(Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
     before = before.select("shard", "part", F.coalesce("base", F.lit(0)).alias("base"))
