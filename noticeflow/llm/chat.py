@@ -10,7 +10,8 @@ the first differing turn of a pair is a ``min``, combined before the shuffle,
 and joined back to the turns.
 
 Rows: rows without a conversation id or turn are left out; of several rows for
-one turn the smallest (role, text) counts; null roles and texts render as empty
+one turn the smallest (role, text) counts; turns are compared by their number,
+so conversations that number from different starts share no prompt; null roles and texts render as empty
 and equal each other; a conversation whose partner is missing is all completion;
 an empty table gives an empty table; other columns are not read.
 """
@@ -53,13 +54,13 @@ def format_pairs(sides: DataFrame) -> DataFrame:
 def neighbours(conversations: DataFrame) -> DataFrame:
     """Pairs of conversations 2k (chosen) and 2k + 1 (rejected)."""
     rows = turns(conversations)
-    return rows.select(F.floor(F.col("conv") / 2).cast("long").alias("pair_id"), F.when(F.pmod("conv", F.lit(2)) == 0, "chosen").otherwise("rejected").alias("side"), "turn", "said")
+    return rows.select(F.shiftright(F.col("conv").cast("long"), 1).alias("pair_id"), F.when(F.pmod("conv", F.lit(2)) == 0, "chosen").otherwise("rejected").alias("side"), "turn", "said")
 
 
 ORACLE = """
 WITH t AS (SELECT conv_id, turn, min({'role': coalesce(role, ''), 'text': coalesce(text, '')}) AS said
            FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id, turn),
-b AS (SELECT CAST(floor(conv_id / 2) AS BIGINT) AS pair_id, turn,
+b AS (SELECT (conv_id - (conv_id % 2 + 2) % 2) // 2 AS pair_id, turn,
              max(said) FILTER (conv_id % 2 = 0) AS chosen, max(said) FILTER (conv_id % 2 <> 0) AS rejected FROM t GROUP BY 1, 2),
 f AS (SELECT pair_id, min(turn) AS split FROM b WHERE chosen IS DISTINCT FROM rejected GROUP BY pair_id),
 m AS (SELECT b.*, (split IS NULL OR turn < split) AS shared FROM b LEFT JOIN f USING (pair_id)),
