@@ -40,7 +40,9 @@ SAMPLE = 240
 PATH, WORDS, NUMBERS, HIDDEN = 64, 32, 4, 12
 #: Cells (blocks of the longest page times pages) that run through the network at once.
 CELLS = 40_000
-_token = re.compile(r"<!--.*?(?:-->|$)|<(script|style|noscript|template|svg|textarea)\b[^>]*>.*?(?:</\1\s*>|$)|<![^>]*>|<\?[^>]*>|</?[a-zA-Z][^>]*>", re.S | re.I)
+#: The rest of a tag: ``>`` inside a quoted attribute value does not end it.
+_REST = r"""(?:=\s*(?:"[^"]*"|'[^']*')|[^>])*+>"""
+_token = re.compile(r"<!--.*?(?:-->|$)|<(script|style|noscript|template|svg|textarea)\b" + _REST + r".*?(?:</\1\s*>|$)|<![^>]*>|<\?[^>]*>|</?[a-zA-Z]" + _REST, re.S | re.I)
 _name = re.compile(r"</?([a-zA-Z][a-zA-Z0-9-]*)")
 _mark = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _part = re.compile(r"[a-z]+")
@@ -71,10 +73,12 @@ def blocks(page: str | None) -> list[Block]:
     stack: list[tuple[str, tuple[str, ...]]] = []
     pieces: list[str] = []
     inside = 0
+    said_some = False  # whether pieces hold more than blanks
     path: tuple[str, ...] = ()
 
     def flush() -> None:
-        nonlocal inside
+        nonlocal inside, said_some
+        said_some = False
         if pieces:
             text = " ".join("".join(pieces).split())
             if text:
@@ -83,13 +87,14 @@ def blocks(page: str | None) -> list[Block]:
         inside = 0
 
     def text(raw: str) -> None:
-        nonlocal inside, path
+        nonlocal inside, path, said_some
         if not raw:
             return
         said = entities.unescape(raw) if "&" in raw else raw
-        if not pieces or not "".join(pieces).strip():
+        if not said_some:
             path = tuple(x for _, parts in stack for x in parts)
         pieces.append(said)
+        said_some = said_some or not said.isspace()
         if any(n == "a" for n, _ in stack):
             inside += len(said)
 
@@ -278,7 +283,7 @@ def train(pages: list[str | None], steps: int = 160, seed: int = 3) -> Labeller:
     m1 = {k: np.zeros_like(v) for k, v in net.p.items()}
     m2 = {k: np.zeros_like(v) for k, v in net.p.items()}
     for t in range(1, steps + 1):
-        chosen = [_varied(rng.choice(sample)[:80], rng) for _ in range(24)]
+        chosen = [_varied(rng.choice(sample), rng) for _ in range(24)]
         x, mask = _batch([features(b) for b in chosen])
         y = np.zeros(mask.shape[:2], np.float32)
         for k, b in enumerate(chosen):
