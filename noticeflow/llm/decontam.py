@@ -19,7 +19,8 @@ compared in lower case with runs of white space as one space.
 The patterns' q-grams are a sorted array that goes to the executors in blocks
 of at most ``BLOCK`` signs; a larger benchmark takes more passes, never a
 larger broadcast. Documents are searched in Arrow batches, whole, without a
-shuffle.
+shuffle; the hits of a long text are listed stretch by stretch, so that a text
+of one repeated sign needs no more memory than any other.
 
 Rows: a null or empty text matches nothing; items shorter than ``q + 1`` signs
 after folding must occur exactly, as words; null or empty items are skipped;
@@ -44,6 +45,8 @@ Q, WINDOW, ERRORS = 8, 120, 0.08
 SHORTEST, LONGEST = 40, 60
 #: Signs of patterns in one broadcast block.
 BLOCK = 4_000_000
+#: Signs of text whose hits are listed at once, and their overlap, which is longer than any pattern with its edits.
+STRETCH, OVERLAP = 4096, 512
 _white = re.compile(r"\s+")
 _table = mix(np.arange(1, 65537, dtype=np.uint64))
 
@@ -145,6 +148,13 @@ class Block:
 
     def regions(self, a: np.ndarray) -> list[tuple[int, int]]:
         """(pattern, first diagonal) of bands that reach the q-gram bound."""
+        out: list[tuple[int, int]] = []
+        # the stretches overlap by more than a band, so a band lies whole in one of them
+        for at in range(0, max(1, a.size), STRETCH):
+            out += [(x, d + at) for x, d in self._regions(a[at:at + STRETCH + OVERLAP])]
+        return sorted(set(out)) if a.size > STRETCH else out
+
+    def _regions(self, a: np.ndarray) -> list[tuple[int, int]]:
         p, d = self.hits(a)
         if not p.size:
             return []
@@ -155,6 +165,7 @@ class Block:
         w = self.width[p]
         band = (d + 4 * w) // w  # a band holds diagonals of two neighbouring steps
         key = (p << 40) + band + (1 << 20)  # bands of an item's start may be below 0
+        del p, d, band
         found, count = np.unique(np.concatenate((key, key - 1)), return_counts=True)
         found = found[count >= self.bound[found >> 40]]
         x, band = found >> 40, (found & ((1 << 40) - 1)) - (1 << 20)
@@ -227,7 +238,19 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows in whose text no benchmark item was found, whatever other rows have their id, or null."""
-    keyed = docs.withColumn("_key", F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"), 256))
-    bad = matches(keyed, benchmark, "_key", text_col).select(F.col("_key").alias("_bad")).distinct()
-    return keyed.join(bad, F.col("_key") == F.col("_bad"), "left_anti").drop("_key")
+    """The rows in whose text no benchmark item was found, whatever other rows have their id, or null.
+
+    A narrow pass per block of the benchmark, which lets clean rows through; no shuffle.
+    """
+    sc = docs.sparkSession.sparkContext
+    out = docs.withColumn("_text", F.col(text_col).cast("string"))
+    schema = out.schema
+    for block in blocks(benchmark):
+        sent = sc.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            index = Block(sent.value)
+            for b in batches:
+                yield b.filter(pa.array([not index.search(t) for t in b.column(b.num_columns - 1).to_pylist()], pa.bool_()))
+        out = out.mapInArrow(run, schema)
+    return out.drop("_text")
