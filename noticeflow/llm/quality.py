@@ -160,7 +160,7 @@ def learn(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col
     part = F.crc32(F.col("_key").cast("string").cast("binary")) % 3
     rows = (stats.where(~F.col("base_failed")).select(F.col(id_col).alias("_key"), "features")
             .join(F.broadcast(labels.select(F.col(id_col).alias("_key"), (1 - F.col(label_col)).cast("long").alias("bad"))), "_key"))
-    rows = checkpointed(rows.select("bad", "features", (part == 0).alias("pruning")).coalesce(8))
+    rows = checkpointed(rows.select("bad", "features", (part == 0).alias("pruning")).repartition(8))
     probes = [i / BINS for i in range(1, BINS)]
     edges = rows.select(*[F.percentile_approx(F.when(F.col("bad") == bad, F.col(f"features.{f}")), probes, 2000).alias(f"{f}_{bad}")
                           for f in FEATURES for bad in (0, 1)]).first()
@@ -201,6 +201,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
     some = bounded_sample(labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()), id_col, sample)
     some = some.groupBy(id_col).agg(F.max(label_col).alias(label_col))
     mine = docs.join(F.broadcast(some.select(id_col)), id_col, "left_semi")  # bounded by ``sample``
+    mine = mine.groupBy(id_col).agg(F.min(F.col(text_col).cast("string")).alias(text_col))  # one text per id, however many rows repeat it
     return learn(statistics(mine, id_col, text_col), some, id_col, label_col)
 
 
