@@ -1,15 +1,16 @@
 """Step audits (A14): the counts the reference prints, as tables.
 
 ``stage01_audit`` computes every count of the preparation stage in one
-aggregation over the raw table (no ``count()`` per step). ``observed``
-attaches the same kind of counts to a pipeline pass with
-``DataFrame.observe``, so a written stage reports its audit with no extra
-job.
+aggregation over the raw table (no ``count()`` per step). ``StepLog``
+attaches counts to the passes of stages 02-05 with ``DataFrame.observe``, so
+the written stages report dropped, filled and capped rows with no extra job.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from noticeflow.functions.text import as_number
@@ -51,10 +52,25 @@ def stage01_audit(raw: DataFrame, dataset: str) -> DataFrame:
     return a.select(F.inline(arr))
 
 
-def observed(df: DataFrame, name: str, *cols: str) -> tuple[DataFrame, Observation]:
-    """Attach row and non-null counts to ``df``; read ``obs.get`` after the
-    action that writes the stage."""
-    obs = Observation(name)
-    metrics = [F.count(F.lit(1)).alias("rows")] + \
-              [F.count(F.col(c)).alias(f"nonnull_{c}") for c in cols if c in df.columns]
-    return df.observe(obs, *metrics), obs
+class StepLog:
+    """Counts of pipeline steps, observed by the passes that run anyway.
+
+    ``watch`` marks a table on its way: when some action has read it whole (a
+    written stage, a fence), its row count and the given conditions' counts are
+    known, without a job of their own. ``table`` is read after the last write."""
+
+    def __init__(self):
+        self.entries: list[tuple[str, str, list[str], Observation]] = []
+
+    def watch(self, df: DataFrame, stage: str, step: str, **counts: Column) -> DataFrame:
+        obs = Observation(f"{stage}-{step}-{uuid.uuid4().hex}")
+        self.entries.append((stage, step, list(counts), obs))
+        return df.observe(obs, F.count(F.lit(1)).alias("rows"), *[F.count_if(c).alias(name) for name, c in counts.items()])
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """(Stage, Step, Measure, Count): ``rows`` of every step, then its conditions."""
+        rows = []
+        for stage, step, names, obs in self.entries:
+            got = obs.get
+            rows += [(stage, step, name, int(got[name])) for name in ["rows", *names]]
+        return spark.createDataFrame(rows, "Stage string, Step string, Measure string, Count bigint")

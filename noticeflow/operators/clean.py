@@ -79,12 +79,15 @@ def remove_extreme_outliers(df: DataFrame, columns: list[str], k_factor: float =
 
 
 def winsorize_features(df: DataFrame, columns: list[str], k_factor: float = 3.0,
-                       method: str = "log", quantile_method: str = "ranked") -> DataFrame:
-    """Cap each column at its fence; nulls stay null, row count unchanged."""
+                       method: str = "log", quantile_method: str = "ranked", watch=None) -> DataFrame:
+    """Cap each column at its fence; nulls stay null, row count unchanged.
+    ``watch(table, conditions)`` sees the rows with what will be capped."""
     cols = [c for c in columns if c in df.columns]
     if not cols:
         return df
     j = _with_fences(df, fences(df, cols, k_factor, method, quantile_method), cols)
+    if watch is not None:
+        j = watch(j, {f"capped_{c}": F.col(c) > F.col(f"_fence_{c}") for c in cols})
     capped = {c: F.when(F.col(c) > F.col(f"_fence_{c}"), F.col(f"_fence_{c}"))
                   .otherwise(F.col(c).cast("double")) for c in cols}
     return j.withColumns(capped).drop(*[f"_fence_{c}" for c in cols])

@@ -1,17 +1,22 @@
 """Model evaluation as aggregations.
 
-Nothing is collected: every metric is an aggregate over the whole
-prediction table. Curves and rank statistics use the distributed running
+Every metric is an aggregate over the whole prediction table; no rows of it
+reach the driver. Curves and rank statistics use the distributed running
 sums of ``ordered.running_sums`` over *distinct* scores.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noticeflow.operators import ordered
 from noticeflow.operators.profile import sig
+from noticeflow.operators.split import hash_sample
 from noticeflow.session import materialize
 
 
@@ -196,7 +201,7 @@ def davies_bouldin(df: DataFrame, label: str, vec: str) -> DataFrame:
     pair = a.crossJoin(F.broadcast(b)).where(F.col("a._l") != F.col("b._l"))  # k^2 rows
     ratio = (F.col("a._s") + F.col("b._s")) / F.sqrt(_sqdist(F.col("a._c"), F.col("b._c"), dim))
     worst = pair.groupBy(F.col("a._l").alias("_l")).agg(F.max(ratio).alias("_r"))
-    return worst.agg(sig(F.avg("_r")).alias("Davies_Bouldin"))
+    return worst.agg(F.coalesce(sig(F.avg("_r")), F.lit(-1.0)).alias("Davies_Bouldin"))  # below two clusters: -1
 
 
 def calinski_harabasz(df: DataFrame, label: str, vec: str) -> DataFrame:
@@ -216,7 +221,7 @@ def calinski_harabasz(df: DataFrame, label: str, vec: str) -> DataFrame:
         F.count(F.lit(1)).alias("_k"))
     r = w.crossJoin(bt)
     ch = (F.col("_b") / (F.col("_k") - 1)) / (F.col("_w") / (F.col("_n") - F.col("_k")))
-    return r.select(sig(F.when(F.col("_k") >= 2, ch)).alias("Calinski_Harabasz"))
+    return r.select(F.coalesce(sig(F.when(F.col("_k") >= 2, ch)), F.lit(-1.0)).alias("Calinski_Harabasz"))
 
 
 def silhouette_sqeuclidean(df: DataFrame, label: str, vec: str) -> DataFrame:
@@ -244,3 +249,48 @@ def silhouette_sqeuclidean(df: DataFrame, label: str, vec: str) -> DataFrame:
     s = F.when(own["n"] <= 1, F.lit(0.0)).when(a < b, 1.0 - a / b).when(a > b, b / a - 1.0) \
          .otherwise(F.lit(0.0))
     return j.agg(sig(F.avg(s)).alias("Silhouette_SqEuclidean"))
+
+
+#: Points per block of the pairwise sums.
+PAIR_BLOCK = 512
+
+
+def silhouette_euclidean(df: DataFrame, label: str, vec: str, sample: int, key: str, seed: int = 42) -> DataFrame:
+    """Mean silhouette with Euclidean distance over ``min(sample, rows)``
+    hash-sampled rows (noise label -1 removed; below two clusters -1).
+
+    The mean distance to a cluster needs every pair of points. Points are packed
+    into blocks; a row of the join is a pair of *blocks*, for which numpy adds up
+    each point's distances per cluster, so no pair of points is ever a row. Work is
+    quadratic in ``sample``, which the caller bounds, and spread over block pairs."""
+    pts = hash_sample(df.where(F.col(label) != -1).select(F.col(key).alias("_id"), F.col(label).cast("int").alias("_l"),
+                                                          F.transform(vec, lambda x: x.cast("double")).alias("_x")), sample, "_id", seed)
+    pts = materialize(pts)
+    blocks = max(1, -(-pts.count() // PAIR_BLOCK))
+    packed = materialize(pts.groupBy(F.pmod(F.xxhash64("_id"), F.lit(blocks)).cast("int").alias("_b")).agg(F.collect_list(F.struct("_id", "_l", "_x")).alias("_p")))
+    left = packed.select(F.col("_p").alias("_pl"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b"))
+
+    def points(col) -> tuple[list, np.ndarray, np.ndarray]:
+        return [p["_id"] for p in col], np.array([p["_l"] for p in col], np.int64), np.array([p["_x"] for p in col])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for one, other in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                ids, own, x = points(one)
+                _, theirs, y = points(other)
+                names, place = np.unique(theirs, return_inverse=True)
+                sums = np.array([np.bincount(place, np.sqrt(((y - v) ** 2).sum(1)), names.size) for v in x])
+                n = np.bincount(place, minlength=names.size)
+                k = len(ids)
+                yield pa.RecordBatch.from_arrays([pa.array([i for i in ids for _ in names], b.schema[0].type.value_type.field("_id").type),
+                                                  pa.array(np.repeat(own, names.size)), pa.array(np.tile(names, k)), pa.array(sums.ravel()), pa.array(np.tile(n, k))],
+                                                 names=["_id", "_l", "_c", "_d", "_n"])
+
+    kind = pts.schema["_id"].dataType.simpleString()
+    part = left.join(packed, "_b").select("_pl", "_p").mapInArrow(run, f"_id {kind}, _l long, _c long, _d double, _n long")
+    per = part.groupBy("_id", "_l", "_c").agg(F.sum("_d").alias("_d"), F.sum("_n").alias("_n"))
+    mine = F.col("_l") == F.col("_c")
+    each = per.groupBy("_id").agg(F.max(F.when(mine, F.col("_n"))).alias("n"), F.max(F.when(mine & (F.col("_n") > 1), F.col("_d") / (F.col("_n") - 1))).alias("a"),
+                                  F.min(F.when(~mine, F.col("_d") / F.col("_n"))).alias("b"))
+    s = F.when((F.col("n") <= 1) | (F.col("a") == F.col("b")), 0.0).when(F.col("a") < F.col("b"), 1.0 - F.col("a") / F.col("b")).otherwise(F.col("b") / F.col("a") - 1.0)
+    return each.agg(F.when(F.count("b") > 0, sig(F.avg(s))).otherwise(F.lit(-1.0)).alias("Silhouette_Euclidean"))

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
+from noticeflow.operators import ordered
+
 
 def sig(c: Column, digits: int = 10) -> Column:
     """Round a double to ``digits`` significant digits (engine-independent
@@ -60,6 +62,36 @@ def profile_minimal(df: DataFrame, exact: bool = False, columns: list[str] | Non
         "Min", "Max", sig(F.col("_mean")).alias("Mean"), sig(F.col("_std")).alias("Std"))
 
 
+def profile_spread(df: DataFrame, columns: list[str] | None = None, exact: bool = False, accuracy: int = 10_000, tracked: int = 10_000) -> DataFrame:
+    """Quartiles of every numeric column and the most frequent value of every
+    column: (Column, Q25, Median, Q75, Top, Top_Count).
+
+    By default one pass of mergeable sketches: a quartile's rank is off by at most
+    rows / ``accuracy``, and a value that more than rows / ``tracked`` rows have
+    can't be missed as the top one. ``exact``: ranks by a distributed sort of distinct values, and
+    counts per value (ties: smallest)."""
+    cols = columns or df.columns
+    types = {f.name: f.dataType for f in df.schema.fields}
+    numeric = [c for c in cols if isinstance(types[c], NumericType)]
+    names = df.sparkSession.createDataFrame([(c,) for c in cols], "Column string")
+    if exact:
+        q = ordered.quantile_table(df.select(*[F.col(c).cast("double").alias(c) for c in numeric]), numeric, [0.25, 0.5, 0.75]) if numeric else None
+        top = top_values(df, cols, 1).select("Column", F.col("Value").alias("Top"), F.col("Count").alias("Top_Count"))
+        out = names.join(top, "Column", "left")
+        if q is None:
+            return out.select("Column", *[F.lit(None).cast("double").alias(x) for x in ("Q25", "Median", "Q75")], "Top", "Top_Count")
+        q = q.select(F.col("_name").alias("Column"), *[F.col(ordered.qname(p)).alias(x) for p, x in ((0.25, "Q25"), (0.5, "Median"), (0.75, "Q75"))])
+        return out.join(q, "Column", "left").select("Column", "Q25", "Median", "Q75", "Top", "Top_Count")
+    nul = F.lit(None).cast("double")
+    arr = F.array(*[F.struct(F.lit(c).alias("Column"), (F.col(c).cast("double") if c in numeric else nul).alias("_v"), F.col(c).cast("string").alias("_t")) for c in cols])
+    a = df.select(F.inline(arr)).groupBy("Column").agg(F.percentile_approx("_v", [0.25, 0.5, 0.75], accuracy).alias("q"),
+                                                       F.expr(f"approx_top_k(_t, 2, {tracked})").alias("t"))
+    top = F.filter("t", lambda x: x["item"].isNotNull())
+    a = names.join(a, "Column", "left")
+    return a.select("Column", F.get("q", F.lit(0)).alias("Q25"), F.get("q", F.lit(1)).alias("Median"), F.get("q", F.lit(2)).alias("Q75"),
+                    F.get(top, F.lit(0))["item"].alias("Top"), F.get(top, F.lit(0))["count"].alias("Top_Count"))
+
+
 def histogram(df: DataFrame, columns: list[str] | None = None, bins: int = 10) -> DataFrame:
     """Equal-width histogram per numeric column (Column, Bin, Count)."""
     cols = columns or _numeric(df)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce as _fold
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -58,7 +57,3 @@ def cluster_boxplot(df: DataFrame, cluster_col: str, features: list[str],
         F.min(F.when(inside, F.col("_v"))).alias("Whisker_Low"),
         F.max(F.when(inside, F.col("_v"))).alias("Whisker_High"),
         F.sum(F.when(inside, 0).otherwise(1)).cast("bigint").alias("Outliers"))
-
-
-def any_true(cols):
-    return _fold(lambda a, b: a | b, cols)

@@ -41,6 +41,13 @@ def profile_minimal(spark, d):
     return profile.profile_minimal(golden(spark, d), exact=True).drop("Type")
 
 
+@query
+def profile_spread(spark, d):
+    """Quartiles and the top value of every column (exact form)."""
+    t = profile.profile_spread(golden(spark, d), CORR_COLS + GOLDEN_CATEGORICAL, exact=True)
+    return t.select("Column", *[profile.sig(F.col(c)).alias(c) for c in ("Q25", "Median", "Q75")], "Top", "Top_Count")
+
+
 @query
 def profile_histogram(spark, d):
     return profile.histogram(golden(spark, d), CORR_COLS, bins=10)
@@ -69,6 +76,18 @@ def pipeline_audit(spark, d):
         .unionByName(stage01_audit(fixtures.can(spark, d), "CAN"))
 
 
+@query
+def stage_audit(spark, d):
+    """A14, stages 02-05: rows kept, gaps filled and values capped per step, observed while the stages are written."""
+    return pl.audited_stages(spark, d)
+
+
+@query
+def silhouette_euclidean(spark, d):
+    """Silhouette with the reference's Euclidean distance, on a hash sample of 2,000 rows."""
+    return evaluate.silhouette_euclidean(_embeddings(spark, d), "label", "embedding", sample=2000, key="vec_id")
+
+
 @query
 def join_fanout(spark, d):
     """The 20 (notice, lot) keys with the largest merge fan-out."""

@@ -218,3 +218,41 @@ _PER = f"""(SELECT vec_id, max(CASE WHEN cl = pl THEN n END) AS n1,
       min(CASE WHEN cl <> pl THEN d END) AS b FROM {_PD2} GROUP BY vec_id)"""
 sql("silhouette_sample", f"""SELECT {SIG('avg(CASE WHEN n1 <= 1 THEN 0.0 WHEN a < b THEN 1.0 - a / b WHEN a > b THEN b / a - 1.0 ELSE 0.0 END)')}
     AS Silhouette_SqEuclidean FROM {_PER}""")
+
+_SAMP = ("(SELECT vec_id, label AS l, list_transform(embedding, lambda v: cast(v as double)) AS x FROM embeddings WHERE label <> -1 "
+         "ORDER BY cast(('0x' || substr(md5(cast(vec_id as varchar) || '|42'), 1, 8)) as bigint), vec_id LIMIT 2000)")
+_PAIR = f"""(SELECT p.vec_id, p.l AS pl, o.l AS cl, count(*) AS n,
+      sum(sqrt(list_sum(list_transform(list_zip(p.x, o.x), lambda t: (t[1] - t[2]) * (t[1] - t[2]))))) AS d
+    FROM {_SAMP} p, {_SAMP} o GROUP BY p.vec_id, p.l, o.l)"""
+_PEU = f"""(SELECT vec_id, max(CASE WHEN cl = pl THEN n END) AS n1, max(CASE WHEN cl = pl AND n > 1 THEN d / (n - 1) END) AS a,
+      min(CASE WHEN cl <> pl THEN d / n END) AS b FROM {_PAIR} GROUP BY vec_id)"""
+sql("silhouette_euclidean", f"""SELECT CASE WHEN count(b) > 0 THEN {SIG('avg(CASE WHEN n1 <= 1 THEN 0.0 WHEN a < b THEN 1.0 - a / b WHEN a > b THEN b / a - 1.0 ELSE 0.0 END)')}
+    ELSE -1.0 END AS Silhouette_Euclidean FROM {_PEU}""")
+
+
+def _spread(c: str, num: bool) -> str:
+    q = lambda p: SIG(f"(SELECT quantile_cont(cast({c} as double), {p}) FROM gold)") if num else "cast(null as double)"
+    top = f"(SELECT {{}} FROM (SELECT cast({c} as varchar) AS v, count(*) AS n FROM gold WHERE {c} IS NOT NULL GROUP BY 1) ORDER BY n DESC, v LIMIT 1)"
+    return (f"SELECT '{c}' AS \"Column\", {q(0.25)} AS Q25, {q(0.5)} AS Median, {q(0.75)} AS Q75, {top.format('v')} AS Top, "
+            f"cast({top.format('n')} as bigint) AS Top_Count")
+
+
+sql("profile_spread", " UNION ALL ".join([_spread(c, True) for c in CORR] + [_spread(c, False) for c in CATS]))
+
+
+def _audit2(rows: list[tuple[str, str, str, str]]) -> str:
+    return " UNION ALL ".join(f"SELECT '{s}' AS Stage, '{p}' AS Step, '{m}' AS Measure, cast({e} as bigint) AS Count" for s, p, m, e in rows)
+
+
+def _count(src: str, where: str = "true") -> str:
+    return f"(SELECT count(*) FROM {src} WHERE {where})"
+
+
+sql("stage_audit", _audit2(
+    [("01", t, "rows", _count(f"{t}_prep")) for t in ("cfc", "can")] + [("02", t, "rows", _count(f"{t}_n")) for t in ("cfc", "can")]
+    + [("03", t, "rows", _count(f"{t}_l")) for t in ("cfc", "can")] + [("04", "merged", "rows", _count("ml"))]
+    + [("05", "targets_present", "rows", _count("k1")), ("05", "logical_errors_removed", "rows", _count("k2"))]
+    + [("05", "logical_errors_removed", f"missing_{c}", _count("k2", f"{c} IS NULL")) for c in ("B_EU_FUNDS", "B_RECURRENT_PROCUREMENT", "CRIT_CODE", "TOP_TYPE")]
+    + [("05", "outliers_removed", "rows", _count("k4")), ("05", "capped_log", "rows", _count("k4")), ("05", "capped_standard", "rows", _count("k5"))]
+    + [("05", "capped_log", f"capped_{c}", _count("k4, fz2", f"{c} > f_{c}")) for c in INPUT_LOG]
+    + [("05", "capped_standard", f"capped_{c}", _count("k5, fz3", f"{c} > f_{c}")) for c in INPUT_STD]))

@@ -3,7 +3,7 @@
 Each stage is lazy. ``run_pipeline`` writes every stage to its own folder
 (never overwriting its own input, which would delete the data before it is
 read) so stages restart from the last written table and lineage stays
-short; ``golden_table`` builds the same chain lazily for one query.
+short; ``audited_stages`` counts what each step does while they are written.
 """
 
 from __future__ import annotations
@@ -11,8 +11,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from noticeflow.operators import clean, match, merge
+from noticeflow.operators.audit import StepLog
 from noticeflow.operators.reduce import drop_missing_targets, remove_logical_errors
 from noticeflow.plans.prepare import prepare
 from noticeflow.session import materialize
@@ -52,21 +54,41 @@ def combined(p: Prepared) -> DataFrame:
     return materialize(merge.prepare_final_ml_dataset(master(p)))
 
 
-def cleaned(ml: DataFrame, quantile_method: str = "ranked") -> DataFrame:
+def cleaned(ml: DataFrame, quantile_method: str = "ranked", log: StepLog | None = None) -> DataFrame:
     """Stage 05: targets present, logical errors, imputation, trimming,
     winsorising, in the reference's order (the order changes the fences)."""
-    df = drop_missing_targets(ml, clean.CRITICAL_TARGETS)
+    def seen(df: DataFrame, step: str, counts: dict | None = None) -> DataFrame:
+        return df if log is None else log.watch(df, "05", step, **(counts or {}))
+
+    df = seen(drop_missing_targets(ml, clean.CRITICAL_TARGETS), "targets_present")
     df = remove_logical_errors(df, clean.LOGICAL_CHECK_COLS, 0.0)
+    df = seen(df, "logical_errors_removed", {f"missing_{c}": F.col(c).isNull() for c in ("B_EU_FUNDS", "B_RECURRENT_PROCUREMENT", "CRIT_CODE", "TOP_TYPE")})
     # each step's input feeds both its fences and its rows: materialise once
-    df = materialize(clean.impute_domain_specific_missing_values(df))
+    df = materialize(clean.impute_domain_specific_missing_values(materialize(df)))
     df = clean.remove_extreme_outliers(df, clean.TARGET_LOG_COLS, 3.0, "log", quantile_method)
-    df = clean.winsorize_features(materialize(df), clean.INPUT_LOG_COLS, 3.0, "log",
-                                  quantile_method)
-    df = clean.winsorize_features(materialize(df), clean.INPUT_STANDARD_COLS, 3.0, "standard",
-                                  quantile_method)
+    df = materialize(seen(df, "outliers_removed"))
+    for columns, method in ((clean.INPUT_LOG_COLS, "log"), (clean.INPUT_STANDARD_COLS, "standard")):
+        df = clean.winsorize_features(df, columns, 3.0, method, quantile_method, watch=lambda j, counts, m=method: seen(j, f"capped_{m}", counts))
+        if method == "log":
+            df = materialize(df)
     return df
 
 
+def audited_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A14 for stages 02-05: what each step kept, filled and capped, counted by the writes of the stages."""
+    log = StepLog()
+
+    def both(p: Prepared, stage: str) -> Prepared:
+        return Prepared(materialize(log.watch(p.cfc, stage, "cfc")), materialize(log.watch(p.can, stage, "can")))
+
+    p = both(prepared(spark, sf_dir), "01")
+    p = both(notice_matched(p), "02")
+    p = both(lot_matched(p), "03")
+    ml = materialize(log.watch(merge.prepare_final_ml_dataset(master(p)), "04", "merged"))
+    materialize(cleaned(ml, log=log))
+    return log.table(spark)
+
+
 def _stage(spark: SparkSession, name: str, sf_dir: str, build) -> Prepared:
     def mat():
         p = build()
@@ -89,12 +111,6 @@ def stage03(spark: SparkSession, sf_dir: str) -> Prepared:
     return _stage(spark, "stage03", sf_dir, lambda: lot_matched(stage02(spark, sf_dir)))
 
 
-def golden_table(spark: SparkSession, sf_dir: str, clean_stage: bool = True) -> DataFrame:
-    """01 -> 05 as one lazy plan (04 only when ``clean_stage`` is false)."""
-    ml = combined(lot_matched(notice_matched(prepared(spark, sf_dir))))
-    return cleaned(ml) if clean_stage else ml
-
-
 def run_pipeline(spark: SparkSession, sf_dir: str, out_root: str) -> dict[str, str]:
     """Write every stage to ``out_root/<stage>`` and read it back for the next.
 
