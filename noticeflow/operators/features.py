@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noticeflow.operators import ordered
+from noticeflow.session import materialize
 
 
 @dataclass
@@ -74,8 +75,9 @@ class CategoricalEncoder:
 
 def fit_categorical_encoder(train: DataFrame, cols: list[str]) -> CategoricalEncoder:
     """M2: modes (ties: smallest value) and sorted category lists."""
-    modes = train.agg(*[F.mode(F.col(c).cast("string"), deterministic=True).alias(f"_mode_{c}")
-                        for c in cols])
+    counts = _long(train, cols).where(F.col("Category").isNotNull()).groupBy("Column", "Category").agg(F.count(F.lit(1)).alias("_n"))
+    best = lambda c: F.min(F.when(F.col("Column") == c, F.struct((-F.col("_n")).alias("n"), F.col("Category").alias("c"))))["c"]
+    modes = materialize(counts.agg(*[best(c).alias(f"_mode_{c}") for c in cols]))
     enc = CategoricalEncoder(cols, modes, None)
     filled = enc.fill(train.select(*cols))
     idx = StringIndexer(inputCols=cols, outputCols=[f"{c}_idx" for c in cols],
@@ -85,6 +87,53 @@ def fit_categorical_encoder(train: DataFrame, cols: list[str]) -> CategoricalEnc
     return enc
 
 
+@dataclass
+class CategoryTable:
+    """One-hot encoding for category sets of any size: all of it are tables.
+
+    ``codes`` (Column, Category, Code) numbers each column's sorted categories
+    from 0, ``modes`` has one row per column. No category becomes a literal of a
+    plan or an element of a list on the driver."""
+    cols: list[str]
+    codes: DataFrame
+    modes: DataFrame
+
+    def slots(self, df: DataFrame, key: str) -> DataFrame:
+        """(key, Column, Category, Code) of the active slots: nulls take the mode,
+        a column's first category and unseen ones have no slot.
+
+        The codes are joined by (Column, Category); adaptive execution broadcasts a
+        small table and splits the rows of a hot category otherwise."""
+        filled = F.coalesce(F.col("Category"), F.col("_mode"))
+        long = _long(df, self.cols, key).join(F.broadcast(self.modes), "Column", "left")  # one row per column
+        long = long.select(key, "Column", filled.alias("Category"))
+        return long.join(self.codes.where(F.col("Code") > 0), ["Column", "Category"])
+
+    def vectors(self, df: DataFrame, key: str) -> DataFrame:
+        """(key, indices) of every row: the sorted places of its ones in the vector of all slots,
+        columns in their order. Rows without an active slot have an empty list."""
+        sizes = {r["Column"]: r["n"] for r in self.codes.groupBy("Column").agg(F.max("Code").alias("n")).collect()}  # one number per column
+        base, at = F.lit(0), 0
+        for c in self.cols:
+            base = F.when(F.col("Column") == c, F.lit(at)).otherwise(base)
+            at += sizes.get(c, 0)
+        ones = self.slots(df, key).groupBy(key).agg(F.sort_array(F.collect_list(base + F.col("Code") - 1)).alias("indices"))  # at most one per column
+        return df.select(key).join(ones, key, "left").select(key, F.coalesce("indices", F.array().cast("array<bigint>")).alias("indices"))
+
+
+def _long(df: DataFrame, cols: list[str], *keep: str) -> DataFrame:
+    return df.select(*keep, F.inline(F.array(*[F.struct(F.lit(c).alias("Column"), F.col(c).cast("string").alias("Category")) for c in cols])))
+
+
+def fit_category_table(train: DataFrame, cols: list[str]) -> CategoryTable:
+    """M2 without a bound on the categories: counts per (column, category) give the
+    modes (ties: smallest value) and, sorted in a distributed way, the codes."""
+    counts = materialize(_long(train, cols).where(F.col("Category").isNotNull()).groupBy("Column", "Category").agg(F.count(F.lit(1)).alias("_n")))
+    modes = counts.groupBy("Column").agg(F.min(F.struct((-F.col("_n")).alias("n"), F.col("Category").alias("c"))).alias("m")).select("Column", F.col("m.c").alias("_mode"))
+    codes = ordered.global_index(counts.select("Column", "Category"), ["Category"], ["Column"], idx="Code")
+    return CategoryTable(cols, codes.select("Column", "Category", "Code"), materialize(modes))
+
+
 @dataclass
 class Preprocessor:
     """M1 + M2 as one fitted object producing a ``features`` vector."""

@@ -68,15 +68,8 @@ def onehot_features(spark, d):
     """M2 in long form: the active one-hot slots of every row (first sorted
     training category dropped, unseen categories encode as no slot)."""
     t = class_table(spark, d)
-    enc = features.fit_categorical_encoder(t.where(F.col("_is_test") == 0), CLASS_CATEGORICAL)
-    filled = enc.fill(t.select("_row_key", *CLASS_CATEGORICAL))
-    # fitted category lists are model metadata (one list per column)
-    kept = F.array(*[F.struct(F.lit(c).alias("Column"), F.lit(v).alias("Category"))
-                     for c in CLASS_CATEGORICAL for v in enc.labels[c][1:]])
-    slots = spark.range(1).select(F.inline(kept))
-    long = filled.select("_row_key", F.inline(F.array(*[
-        F.struct(F.lit(c).alias("Column"), F.col(c).alias("Category")) for c in CLASS_CATEGORICAL])))
-    return long.join(F.broadcast(slots), ["Column", "Category"])
+    table = features.fit_category_table(t.where(F.col("_is_test") == 0), CLASS_CATEGORICAL)
+    return table.slots(t, "_row_key").select("Column", "Category", "_row_key")
 
 
 def _fit_classifier(spark, d, name):
