@@ -11,6 +11,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -160,15 +162,16 @@ def regression_density(df: DataFrame, y: str, p: str, bins: int = 50) -> DataFra
 # ----------------------------------------------------------- clustering
 
 def _centroids(points: DataFrame, label: str, vec: str) -> DataFrame:
-    """(label, n, centroid array<double>) from an array column, partial-
-    aggregated per (label, dimension) before the shuffle."""
-    ex = points.select(F.col(label).alias("_l"), F.posexplode(vec).alias("_i", "_x"))
-    per = ex.groupBy("_l", "_i").agg(F.avg(F.col("_x").cast("double")).alias("_m"))
-    cent = per.groupBy("_l").agg(F.sort_array(F.collect_list(F.struct("_i", "_m"))).alias("_c"))
-    n = points.groupBy(F.col(label).alias("_l")).agg(F.count(F.lit(1)).alias("_n"))
+    """(label, n, centroid array<double>) from an array column: one vector of
+    sums per label and task, combined before the shuffle."""
+    cent = points.select(F.col(label).alias("_l"), _vector(vec).alias("_x")).groupBy("_l") \
+                 .agg(Summarizer.mean(F.col("_x")).alias("_c"), F.count(F.lit(1)).alias("_n"))
     # k rows, read several times: written once so the points are scanned once
-    return materialize(cent.select("_l", F.transform("_c", lambda s: s["_m"]).alias("_c"))
-                       .join(n, "_l"))
+    return materialize(cent.select("_l", vector_to_array("_c").alias("_c"), "_n"))
+
+
+def _vector(vec: str) -> Column:
+    return array_to_vector(F.transform(vec, lambda x: x.cast("double")))
 
 
 def _dim(cent: DataFrame) -> int:
@@ -209,10 +212,8 @@ def calinski_harabasz(df: DataFrame, label: str, vec: str) -> DataFrame:
     pts = df.where(F.col(label) != -1)
     cent = _centroids(pts, label, vec)
     dim = _dim(cent)
-    overall = pts.select(F.posexplode(vec).alias("_i", "_x")).groupBy("_i") \
-                 .agg(F.avg(F.col("_x").cast("double")).alias("_m")) \
-                 .agg(F.sort_array(F.collect_list(F.struct("_i", "_m"))).alias("_g")) \
-                 .select(F.transform("_g", lambda s: s["_m"]).alias("_g"))
+    overall = pts.select(_vector(vec).alias("_x")).agg(Summarizer.mean(F.col("_x")).alias("_g")) \
+                 .select(vector_to_array("_g").alias("_g"))
     j = pts.join(F.broadcast(cent), pts[label] == cent["_l"])
     w = j.agg(F.sum(_sqdist(F.col(vec), F.col("_c"), dim)).alias("_w"),
               F.count(F.lit(1)).alias("_n"))

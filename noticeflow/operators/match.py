@@ -172,3 +172,26 @@ def tag_by_lot(df: DataFrame, side: str, other: DataFrame) -> DataFrame:
     mine, theirs = (CFC_NOTICE, CAN_NOTICE) if side == "cfc" else (CAN_NOTICE, CFC_NOTICE)
     ok = _keys(other, dict(zip(["_k0", "_k1"], lot_key_exprs(other, theirs))))
     return tag_matched(df, lot_key_exprs(df, mine), ok)
+
+
+def split_counts(df_cfc: DataFrame, df_can: DataFrame, level: str) -> DataFrame:
+    """(Frame, Rows): matched and orphan rows of both sides and shared keys (J6),
+    at ``'notice'`` or ``'lot'`` level, without building the four frames.
+
+    One tagged union of the keys, counted per key and side (which combines before
+    the shuffle, null keys as one group), then one conditional sum."""
+    def keyed(df: DataFrame, notice: str, side: str) -> DataFrame:
+        _require(df, [notice])
+        exprs = [_notice(df, notice)] if level == "notice" else lot_key_exprs(df, notice)
+        return df.select(*[e.cast("string").alias(f"_k{i}") for i, e in enumerate(exprs)], F.lit(side).alias("_side"))
+
+    both = keyed(df_cfc, CFC_NOTICE, "cfc").unionByName(keyed(df_can, CAN_NOTICE, "can"))
+    names = [c for c in both.columns if c != "_side"]
+    per = both.groupBy(*names).agg(*[F.count_if(F.col("_side") == s).alias(s) for s in ("cfc", "can")])
+    known = F.lit(True)
+    for n in names:
+        known = known & F.col(n).isNotNull()
+    met = known & (F.col("cfc") > 0) & (F.col("can") > 0)
+    total = lambda side, when: F.coalesce(F.sum(F.when(when, F.col(side)).otherwise(0)), F.lit(0)).cast("bigint")
+    a = per.agg(*[total(s, w).alias(f"{s}_{n}") for s in ("cfc", "can") for n, w in (("matched", met), ("orphans", ~met))], F.count_if(met).alias("shared_keys"))
+    return a.select(F.inline(F.array(*[F.struct(F.lit(c).alias("Frame"), F.col(c).alias("Rows")) for c in a.columns])))

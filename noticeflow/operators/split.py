@@ -65,3 +65,13 @@ def folds(df: DataFrame, key: str, k: int = 3, seed: int = 42, col: str = "fold"
     """L4 (group key) / L5 (row key): fold number 0..k-1 for cross-validation
     (``CrossValidator(foldCol=...)``); groups stay whole."""
     return df.withColumn(col, (hash32(F.col(key), seed + 1) % k).cast("int"))
+
+
+def group_split_frames(df: DataFrame, target: str, group: str, drop: list[str] | tuple = (),
+                       test_size: float = 0.2, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """L2 + P12: (train, test) rows with their features, ``target`` and ``group``;
+    leakage columns in ``drop`` and ``ID_LOT`` are left out, absent ones ignored.
+    All rows of a group are on one side."""
+    gone = [c for c in (*drop, "ID_LOT") if c in df.columns and c not in (target, group)]
+    t = group_split(df.drop(*gone), group, test_size, seed, "_is_test")
+    return tuple(t.where(F.col("_is_test") == side).drop("_is_test") for side in (0, 1))

@@ -53,6 +53,24 @@ def class_table(spark, d) -> DataFrame:
     return split.folds(g, "ID_NOTICE", 3, 42)
 
 
+# Columns that would give the target away, left out before the split.
+LEAKAGE = ["NUMBER_OF_TENDERS", "TARGET_AWARD_VALUE_EUR", "LOT_AWARD_VALUE_EUR"]
+
+
+@query
+def split_projection(spark, d):
+    """L2 + P12: values per feature on both sides of the group split, leakage columns left out."""
+    g = analytics.golden(spark, d).drop("_row_pos", "_row_pos2")
+    g = g.withColumn("TARGET_MARKET_FAILURE", F.coalesce(F.col("NUMBER_OF_TENDERS") <= 1, F.lit(False)).cast("int"))
+    sides = split.group_split_frames(g, "TARGET_MARKET_FAILURE", "ID_NOTICE", LEAKAGE)
+    out = None
+    for name, t in zip(("train", "test"), sides):
+        counts = t.agg(*[F.count(c).alias(c) for c in t.columns])
+        rows = counts.select(F.inline(F.array(*[F.struct(F.lit(name).alias("Side"), F.lit(c).alias("Column"), F.col(c).alias("Values")) for c in t.columns])))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @query
 def numeric_scaled(spark, d):
     """M1 fitted on the training notices, applied to every row."""

@@ -130,3 +130,11 @@ ORACLE["pca_explained"] = _wrap(f"""SELECT * FROM (WITH RECURSIVE cov AS MATERIA
     tr AS (SELECT n, m[1][1] + m[2][2] + m[3][3] + m[4][4] + m[5][5] AS t FROM cov)
     SELECT cast(1 as int) AS Component, n AS "Rows", round(val / t, 6) AS Explained_Variance, true AS Orthonormal, true AS Uncorrelated FROM p_end, tr
     UNION ALL SELECT cast(2 as int), n, round(val / t, 6), true, true FROM q_end, tr)""")
+
+_KEPT = ["YEAR", "LOTS_NUMBER", "B_EU_FUNDS", "DURATION", "B_RECURRENT_PROCUREMENT", "ESTIMATED_VALUE_EUR", "IS_FRAMEWORK", "COOPERATIVE_PURCHASING",
+         "NUTS_REGION_COUNT", "NUTS_LEVEL", "PREPARATION_DAYS", "ID_NOTICE", "ID_TYPE", "ISO_COUNTRY_CODE", "CAE_TYPE", "MAIN_ACTIVITY", "CPV", "TOP_TYPE",
+         "CRIT_CODE", "TYPE_OF_CONTRACT"]
+ORACLE["split_projection"] = _wrap(" UNION ALL ".join(
+    f"SELECT '{side}' AS Side, '{c}' AS \"Column\", count(\"{c}\") AS \"Values\" FROM {_CT} WHERE _is_test = {k}"
+    for k, side in enumerate(("train", "test")) for c in _KEPT) + "".join(
+    f" UNION ALL SELECT '{side}', 'TARGET_MARKET_FAILURE', count(*) FROM {_CT} WHERE _is_test = {k}" for k, side in enumerate(("train", "test"))))

@@ -215,23 +215,10 @@ def non_award_rate(spark, d):
     return bias.analyze_non_award_rates(match.split_by_notice(p.cfc, p.can).can_orphans)
 
 
-def _split_counts(tagged_cfc: DataFrame, tagged_can: DataFrame, shared: DataFrame) -> DataFrame:
-    """Matched/orphan row counts of both sides from one tagged pass each."""
-    def side(t, name):
-        a = t.agg(F.sum(F.col("_matched").cast("int")).cast("bigint").alias("m"),
-                  F.sum((~F.col("_matched")).cast("int")).cast("bigint").alias("o"))
-        return a.select(F.inline(F.array(
-            F.struct(F.lit(f"{name}_matched").alias("Frame"), F.coalesce("m", F.lit(0)).alias("Rows")),
-            F.struct(F.lit(f"{name}_orphans").alias("Frame"), F.coalesce("o", F.lit(0)).alias("Rows")))))
-    sk = shared.agg(F.count(F.lit(1)).alias("Rows")).select(F.lit("shared_keys").alias("Frame"), "Rows")
-    return side(tagged_cfc, "cfc").unionByName(side(tagged_can, "can")).unionByName(sk)
-
-
 @query
 def notice_split_counts(spark, d):
     p = pl.stage01(spark, d)
-    return _split_counts(match.tag_by_notice(p.cfc, "cfc", p.can),
-                         match.tag_by_notice(p.can, "can", p.cfc), match.notice_keys(p.cfc, p.can))
+    return match.split_counts(p.cfc, p.can, "notice")
 
 
 @query
@@ -245,8 +232,7 @@ def notice_split_numeric_ids(spark, d):
         F.when(lot != 2, lot.cast("double") * 4000000).alias("ID_LOT"))
     can = li.where("l_linenumber >= 2 and l_orderkey % 3 <> 0").select(
         key.cast("bigint").alias("ID_NOTICE_CAN"), F.when(lot != 2, lot.cast("bigint") * 4000000).alias("ID_LOT"))
-    notice = _split_counts(match.tag_by_notice(cfc, "cfc", can), match.tag_by_notice(can, "can", cfc), match.notice_keys(cfc, can))
-    lots = _split_counts(match.tag_by_lot(cfc, "cfc", can), match.tag_by_lot(can, "can", cfc), match.lot_keys(cfc, can))
+    notice, lots = match.split_counts(cfc, can, "notice"), match.split_counts(cfc, can, "lot")
     return notice.withColumn("Level", F.lit("notice")).unionByName(lots.withColumn("Level", F.lit("lot")))
 
 
@@ -261,8 +247,7 @@ def matched_notices(spark, d):
 @query
 def lot_split_counts(spark, d):
     p = pl.stage02(spark, d)
-    return _split_counts(match.tag_by_lot(p.cfc, "cfc", p.can),
-                         match.tag_by_lot(p.can, "can", p.cfc), match.lot_keys(p.cfc, p.can))
+    return match.split_counts(p.cfc, p.can, "lot")
 
 
 @query
