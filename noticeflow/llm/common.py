@@ -78,6 +78,18 @@ def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     return df.where(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) < int(2**32 * rows / n))
 
 
+def one_text_per_id(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows, but of an id with several rows one, with the smallest text.
+
+    Only ids are counted at first; texts are grouped only where ids repeat."""
+    repeated = checkpointed(rows.groupBy(id_col).count().where("count > 1").select(id_col))
+    if repeated.isEmpty():
+        return rows
+    others = [F.max(c).alias(c) for c in rows.columns if c not in (id_col, text_col)]
+    one = rows.join(repeated, id_col, "left_semi").groupBy(id_col).agg(F.min(text_col).alias(text_col), *others)
+    return rows.join(repeated, id_col, "left_anti").unionByName(one)
+
+
 def settled(df: DataFrame, carried: list[str]) -> DataFrame:
     """The same rows, with all but ``carried`` behind a generator.
 

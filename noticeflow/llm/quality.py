@@ -25,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noticeflow.llm.common import SPACE, bounded_sample, checkpointed, settled, words
+from noticeflow.llm.common import SPACE, bounded_sample, checkpointed, one_text_per_id, settled, words
 
 #: Labelled rows that a fit may use.
 SAMPLE = 20_000
@@ -201,7 +201,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
     some = bounded_sample(labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()), id_col, sample)
     some = some.groupBy(id_col).agg(F.max(label_col).alias(label_col))
     mine = docs.join(F.broadcast(some.select(id_col)), id_col, "left_semi")  # bounded by ``sample``
-    mine = mine.groupBy(id_col).agg(F.min(F.col(text_col).cast("string")).alias(text_col))  # one text per id, however many rows repeat it
+    mine = one_text_per_id(mine.select(id_col, F.col(text_col).cast("string").alias(text_col)), id_col, text_col)
     return learn(statistics(mine, id_col, text_col), some, id_col, label_col)
 
 

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noticeflow.llm.common import bounded_sample
+from noticeflow.llm.common import bounded_sample, one_text_per_id
 
 SAMPLE, MINED, HASHED, THRESHOLD = 4_000, 80, 1 << 10, 0.7
 #: Lengths of the word beginnings that patterns may be.
@@ -184,7 +184,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     usable = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     some = bounded_sample(usable, id_col, sample).groupBy(id_col).agg(F.max(label_col).alias("_y"))
     rows = docs.select(id_col, F.col(text_col).cast("string").alias("_t")).join(F.broadcast(some), id_col)  # bounded by ``sample``
-    rows = rows.groupBy(id_col).agg(F.min("_t").alias("_t"), F.max("_y").alias("_y"))  # one text per id, however many rows repeat it
+    rows = one_text_per_id(rows, id_col, "_t")
     return train([(r._t, int(r._y)) for r in rows.orderBy(id_col).toLocalIterator()])
 
 
