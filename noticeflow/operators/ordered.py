@@ -8,8 +8,8 @@ through one pattern instead:
 1. range-partition + sort on the order key (the sort is distributed);
 2. tag each row with its partition id and its position inside the partition
    (``monotonically_increasing_id`` minus the partition's base), then
-   materialise with a *reliable* ``checkpoint()`` so that the sampled range
-   bounds can never be recomputed differently;
+   write as Parquet, so that the sampled range bounds can never be recomputed
+   differently and later steps read single columns;
 3. count rows per (partition, group): a table of at most
    ``#partitions x #groups`` rows; exclusive offsets over it;
 4. join the offsets back: global index = offset + local position.
@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from noticeflow.session import ensure_checkpoint_dir, materialize
+from noticeflow.session import materialize
 
 _PID, _LOC, _FIRST, _N, _OFF = "_o_pid", "_o_loc", "_o_first", "_o_n", "_o_off"
 
@@ -38,7 +38,6 @@ def global_index(df: DataFrame, order_cols: list, group_cols: list | tuple = (),
                  idx: str = "_idx", num_partitions: int | None = None) -> DataFrame:
     """Add ``idx``: 0-based position of each row in (group, order) sort order,
     restarting at 0 for every group. Ties get distinct consecutive positions."""
-    ensure_checkpoint_dir(df.sparkSession)
     groups = list(group_cols)
     keys = [F.col(g) for g in groups] + [c if isinstance(c, Column) else F.col(c)
                                          for c in order_cols]
@@ -47,7 +46,7 @@ def global_index(df: DataFrame, order_cols: list, group_cols: list | tuple = (),
     s = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
            .withColumn(_PID, pid)
            .withColumn(_LOC, F.monotonically_increasing_id() - F.shiftleft(pid, 33)))
-    s = s.checkpoint(eager=True)
+    s = materialize(s)
     per = s.groupBy(_PID, *groups).agg(F.count(F.lit(1)).alias(_N), F.min(_LOC).alias(_FIRST))
     w = (Window.partitionBy(*groups) if groups else Window.partitionBy()) \
         .orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
@@ -71,12 +70,11 @@ def dense_codes(df: DataFrame, key: str, order_col: str, code: str) -> DataFrame
 def running_sums(df: DataFrame, order_cols: list, sum_cols: list[str],
                  suffix: str = "_cum", num_partitions: int | None = None) -> DataFrame:
     """Inclusive running sums of ``sum_cols`` in global ``order_cols`` order."""
-    ensure_checkpoint_dir(df.sparkSession)
     keys = [c if isinstance(c, Column) else F.col(c) for c in order_cols]
     n = _num_parts(df, num_partitions)
     s = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
            .withColumn(_PID, F.spark_partition_id().cast("bigint")))
-    s = s.checkpoint(eager=True)
+    s = materialize(s)
     per = s.groupBy(_PID).agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
     w0 = Window.partitionBy().orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
     offs = per.select(_PID, *[F.coalesce(F.sum(f"_t_{c}").over(w0), F.lit(0)).alias(f"_b_{c}")
