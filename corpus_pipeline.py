@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
 it as Parquet below the shared checkpoint folder and reads it again as the
-next stage's docs. Every stage but the last returns the columns of documents.
+next stage's docs. Every stage but the last returns the columns of documents, and
+takes an empty table to an empty table. Very long texts are processed whole.
 """
 
 from __future__ import annotations
@@ -17,27 +18,30 @@ from noticeflow.llm.common import checkpointed, documents
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no quality rule rejects."""
+    """Documents that no quality rule rejects. Null, empty and short texts fail the base rule
+    and go; repeated rows are judged alike, all of them stay or go."""
     return quality.passing(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five words, similarity 0.8)."""
+    """One document of each group of near copies (five words, similarity 0.8): the row of the
+    least id, a null id last; texts without a word belong to no group and stay."""
     return jaccard.representatives(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark item."""
+    """Documents without a benchmark item, judged row by row; null and empty texts stay."""
     return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data replaced by its kind; n_chars follows the new text."""
+    """All documents, with personal data replaced by its kind; n_chars follows the new text.
+    A null text stays null, an empty one empty; repeated rows are redacted alike."""
     return pii.redacted_documents(docs, pii.fit(docs))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of ids and decoded text."""
+    """Token counts and digests of ids and decoded text; null counts as empty, repeated rows stay rows."""
     return bpe.digest(bpe.encode_decode(docs, public_tokenizers.path("word_bpe_49k.json")))
 
 

@@ -17,7 +17,7 @@ of a score are the text alone.
 
 Rows: null text counts as empty and gets the score of an empty text; a null id
 counts as held out by the crc32 of the empty string; repeated rows score alike;
-labels that are null are not used; without both classes every score is the share
+very long texts are read whole, word by word; labels that are null are not used; without both classes every score is the share
 of toxic labels (0 if there are none); other columns are not read.
 """
 
