@@ -404,3 +404,10 @@ def dbscan_clusters(spark, d):
     res = dbscan.dbscan(x.select("_row_pos", "ID_NOTICE", "vec"), "_row_pos", "vec",
                         dim=len(CLUSTER_NUMERIC), eps=0.5, min_samples=30)
     return res.select("ID_NOTICE", "cluster")
+
+
+@query
+def dbscan_noise(spark, d):
+    """M5 + P9: which notices belong to no density cluster."""
+    return dbscan_clusters(spark, d).select("ID_NOTICE", (F.col("cluster") == -1).alias("Noise"))
+

@@ -138,3 +138,12 @@ ORACLE["split_projection"] = _wrap(" UNION ALL ".join(
     f"SELECT '{side}' AS Side, '{c}' AS \"Column\", count(\"{c}\") AS \"Values\" FROM {_CT} WHERE _is_test = {k}"
     for k, side in enumerate(("train", "test")) for c in _KEPT) + "".join(
     f" UNION ALL SELECT '{side}', 'TARGET_MARKET_FAILURE', count(*) FROM {_CT} WHERE _is_test = {k}" for k, side in enumerate(("train", "test"))))
+
+# points with 30 neighbours within 0.5 are core; noise is no core and has no core within 0.5
+_CLGI = "(SELECT ID_NOTICE, " + ", ".join(f"ln(1 + coalesce(cast({c} as double), med_{c})) AS lg{i}" for i, c in enumerate(CLU)) + f" FROM {_FIRST}, {_CMED})"
+_CXI = "(SELECT ID_NOTICE, " + ", ".join(f"(lg{i} - m{i}) / CASE WHEN s{i} > 0 THEN s{i} ELSE 1.0 END AS x{i}" for i in range(5)) + f" FROM {_CLGI}, {_CST})"
+_NEAR = " + ".join(f"(a.x{i} - b.x{i}) * (a.x{i} - b.x{i})" for i in range(5)) + " <= 0.25"
+ORACLE["dbscan_noise"] = _wrap(f"""SELECT * FROM (WITH p AS MATERIALIZED (SELECT * FROM {_CXI}),
+    core AS MATERIALIZED (SELECT a.* FROM p a JOIN (SELECT a.ID_NOTICE FROM p a, p b WHERE {_NEAR} GROUP BY a.ID_NOTICE HAVING count(*) >= 30) c USING (ID_NOTICE)),
+    near AS (SELECT DISTINCT a.ID_NOTICE FROM p a, core b WHERE {_NEAR})
+    SELECT p.ID_NOTICE, near.ID_NOTICE IS NULL AS Noise FROM p LEFT JOIN near USING (ID_NOTICE))""")
