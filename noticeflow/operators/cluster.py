@@ -19,7 +19,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from noticeflow.session import materialize
+from noticeflow.session import materialized
 
 
 def _relabel(df: DataFrame, centers: list, col: str) -> DataFrame:
@@ -32,7 +32,7 @@ def _relabel(df: DataFrame, centers: list, col: str) -> DataFrame:
 def train_kmeans(df: DataFrame, k: int = 4, n_init: int = 15, seed: int = 42,
                  features: str = "features", out: str = "cluster"):
     """M3: best of ``n_init`` seeded k-means fits (lowest training cost)."""
-    data = materialize(df)
+    data = materialized(df)
     best = None
     for i in range(n_init):
         m = KMeans(k=k, seed=seed + i, maxIter=300, featuresCol=features, predictionCol=out).fit(data)
@@ -59,6 +59,7 @@ def find_optimal_k(df: DataFrame, max_k: int = 6, n_init: int = 15, seed: int =
                    features: str = "features") -> list[tuple[int, float]]:
     """M4: silhouette for k = 2..max_k (the best k has the highest score)."""
     out = []
+    df = materialized(df)
     for k in range(2, max_k + 1):
         res, _ = train_kmeans(df, k, n_init, seed, features)
         out.append((k, silhouette(res, features)))
@@ -69,7 +70,7 @@ def train_gmm(df: DataFrame, k: int = 4, n_init: int = 3, seed: int = 42,
               features: str = "features", out: str = "cluster"):
     """M6: best of ``n_init`` Gaussian mixtures (full covariance) by
     log-likelihood; hard label = most probable component."""
-    data = materialize(df)
+    data = materialized(df)
     best = None
     for i in range(n_init):
         m = GaussianMixture(k=k, maxIter=1000, seed=seed + i, featuresCol=features, predictionCol=out,
@@ -133,7 +134,7 @@ def train_gmm_diag(df: DataFrame, dim: int, k: int = 3, n_init: int = 1, seed: i
     variance. Labels follow the sorted means. Returns (rows with ``out`` and
     ``probability``, DiagonalMixture)."""
     spark = df.sparkSession
-    data = materialize(df)
+    data = materialized(df)
     vectors = data.withColumn("_features", array_to_vector(vec))
 
     def fitted(r: Row, history: list[float]) -> DiagonalMixture:

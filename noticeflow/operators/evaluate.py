@@ -192,12 +192,13 @@ def _sqdist(a: Column, b: Column, dim: int) -> Column:
 def davies_bouldin(df: DataFrame, label: str, vec: str) -> DataFrame:
     """Davies-Bouldin index on the full table (noise label -1 removed).
 
-    Centroids (one row per cluster, bounded by k) are broadcast back to the
-    points; the pairwise part runs over the k x k centroid table only."""
+    Centroids (one row per cluster) are joined back to the points; the pairwise
+    part runs over the k x k centroid table only."""
     pts = df.where(F.col(label) != -1)
     cent = _centroids(pts, label, vec)
     dim = _dim(cent)
-    j = pts.join(F.broadcast(cent), pts[label] == cent["_l"])
+    # as many centroids as there are clusters: adaptive execution broadcasts them if they are few
+    j = pts.join(cent, pts[label] == cent["_l"])
     s = j.groupBy("_l").agg(F.avg(F.sqrt(_sqdist(F.col(vec), F.col("_c"), dim))).alias("_s"))
     c2 = cent.join(s, "_l")
     a, b = c2.alias("a"), c2.alias("b")
@@ -214,7 +215,8 @@ def calinski_harabasz(df: DataFrame, label: str, vec: str) -> DataFrame:
     dim = _dim(cent)
     overall = pts.select(_vector(vec).alias("_x")).agg(Summarizer.mean(F.col("_x")).alias("_g")) \
                  .select(vector_to_array("_g").alias("_g"))
-    j = pts.join(F.broadcast(cent), pts[label] == cent["_l"])
+    # as many centroids as there are clusters: adaptive execution broadcasts them if they are few
+    j = pts.join(cent, pts[label] == cent["_l"])
     w = j.agg(F.sum(_sqdist(F.col(vec), F.col("_c"), dim)).alias("_w"),
               F.count(F.lit(1)).alias("_n"))
     bt = cent.crossJoin(F.broadcast(overall)).agg(

@@ -47,8 +47,8 @@ def cluster_boxplot(df: DataFrame, cluster_col: str, features: list[str],
     box = qt.select(F.col(cluster_col), F.col("_name"), q1.alias("Q1"), q2.alias("Median"),
                     q3.alias("Q3"))
     long = ordered.unpivot_values(df, features, [cluster_col])
-    # the box table has #clusters x #features rows: a bounded broadcast
-    j = long.join(F.broadcast(box), [cluster_col, "_name"])
+    # #clusters x #features rows: adaptive execution broadcasts them if they are few
+    j = long.join(box, [cluster_col, "_name"])
     iqr = F.col("Q3") - F.col("Q1")
     lo_f, hi_f = F.col("Q1") - whisker * iqr, F.col("Q3") + whisker * iqr
     inside = (F.col("_v") >= lo_f) & (F.col("_v") <= hi_f)

@@ -85,6 +85,11 @@ def materialize(df):
     return out
 
 
+def materialized(df):
+    """``df`` itself if it is a written table already, else its written form."""
+    return df if "_written_to" in vars(df) else materialize(df)
+
+
 def discard(*tables) -> None:
     """Delete tables that ``materialize`` wrote and that nothing reads again."""
     for df in tables:
