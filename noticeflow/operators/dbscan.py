@@ -63,6 +63,15 @@ def _box(a: Column, b: Column, dim: int, far: bool) -> Column:
     return sum((g(i) * g(i) for i in range(1, dim)), g(0) * g(0)).cast("double")
 
 
+def _join(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join of tables that grow with the input, by sorting both sides.
+
+    Their Parquet files hold few bytes for many equal coordinates, so by the files'
+    size Spark would take a large table for one to broadcast, which the driver then
+    holds unpacked."""
+    return left.join(right.hint("merge"), on, how)
+
+
 #: Halvings of a cell before points are compared with points, and parts of a hot label.
 LEVELS, SALTS = 8, 8
 
@@ -99,7 +108,7 @@ def _neighbours(asked: DataFrame, group: list[str], members: DataFrame, side: fl
     seen = None  # (group, weight found so far)
     for level in range(LEVELS + 1):
         nodes = _nodes(members, level, side, dim).withColumnRenamed("_fc", "_b")
-        f = open_.join(nodes, "_b") if key is None else open_.join(nodes, (open_["_b"] == nodes["_b"]) & (open_["_k"] == nodes["_up"])).drop(nodes["_b"])
+        f = _join(open_, nodes, "_b") if key is None else _join(open_.withColumnRenamed("_k", "_up"), nodes, ["_b", "_up"])
         inside = _most_sq(c("_va"), c("_va"), c("_lo"), c("_hi"), dim) <= eps2
         if witness:
             inside = inside | (_sq(c("_va"), c("_one"), dim) <= eps2)
@@ -109,11 +118,11 @@ def _neighbours(asked: DataFrame, group: list[str], members: DataFrame, side: fl
         seen = now if seen is None else seen.unionByName(now).groupBy(*group).agg(F.sum("_w").alias("_w"), F.max("_need").alias("_need"))
         seen = materialize(seen)
         done = seen.where("_w >= _need").select(*group)
-        open_, key = materialize(f.where("not _in").join(done, group, "left_anti").select(*kept, "_k")), "_k"
+        open_, key = materialize(_join(f.where("not _in"), done, group, "left_anti").select(*kept, "_k")), "_k"
         if open_.isEmpty():
             return done
     last = members.select(c("_fc").alias("_b"), "_vec", "_w", F.array(*[F.floor(c("_vec")[i] / side * float(1 << LEVELS)) for i in range(dim)]).alias("_k"))
-    now = open_.join(last, ["_b", "_k"]).where(_sq(c("_va"), c("_vec"), dim) <= eps2).groupBy(*group).agg(F.sum("_w").alias("_w"), F.max("_need").alias("_need"))
+    now = _join(open_, last, ["_b", "_k"]).where(_sq(c("_va"), c("_vec"), dim) <= eps2).groupBy(*group).agg(F.sum("_w").alias("_w"), F.max("_need").alias("_need"))
     return materialize(seen.unionByName(now).groupBy(*group).agg(F.sum("_w").alias("_w"), F.max("_need").alias("_need")).where("_w >= _need").select(*group))
 
 
@@ -126,22 +135,22 @@ def _linked(pairs: DataFrame, members: DataFrame, side: float, dim: int, eps2: f
         a = nodes.select(*[c(x).alias(x + "a") for x in nodes.columns])
         b = nodes.select(*[c(x).alias(x + "b") for x in nodes.columns])
         if level == 0:
-            f = open_.join(a, c("_a") == c("_fca")).join(b, c("_b") == c("_fcb"))
+            f = _join(_join(open_, a, c("_a") == c("_fca")), b, c("_b") == c("_fcb"))
         else:
-            f = open_.join(a, (c("_a") == c("_fca")) & (c("_ka") == c("_upa"))).join(b, (c("_b") == c("_fcb")) & (c("_kb") == c("_upb")))
+            f = _join(_join(open_, a, (c("_a") == c("_fca")) & (c("_ka") == c("_upa"))), b, (c("_b") == c("_fcb")) & (c("_kb") == c("_upb")))
         close = (_most_sq(c("_loa"), c("_hia"), c("_lob"), c("_hib"), dim) <= eps2) | (_sq(c("_onea"), c("_oneb"), dim) <= eps2)
         f = f.where(_least_sq(c("_loa"), c("_hia"), c("_lob"), c("_hib"), dim) <= eps2)
         f = materialize(f.select("_a", "_b", c("_keya").alias("_ka"), c("_keyb").alias("_kb"), close.alias("_in")))
         now = f.where("_in").select("_a", "_b").distinct()
         found = materialize(now if found is None else found.unionByName(now))
-        open_ = materialize(f.join(now, ["_a", "_b"], "left_anti").select("_a", "_b", "_ka", "_kb"))
+        open_ = materialize(_join(f, now, ["_a", "_b"], "left_anti").select("_a", "_b", "_ka", "_kb"))
         if open_.isEmpty():
             return found
     key = F.array(*[F.floor(c("_vec")[i] / side * float(1 << LEVELS)) for i in range(dim)])
     last = members.select("_fc", "_vec", key.alias("_k"))
     a = last.select(c("_fc").alias("_a"), c("_k").alias("_ka"), c("_vec").alias("_va"))
     b = last.select(c("_fc").alias("_b"), c("_k").alias("_kb"), c("_vec").alias("_vb"))
-    now = open_.join(a, ["_a", "_ka"]).join(b, ["_b", "_kb"]).where(_sq(c("_va"), c("_vb"), dim) <= eps2).select("_a", "_b").distinct()
+    now = _join(_join(open_, a, ["_a", "_ka"]), b, ["_b", "_kb"]).where(_sq(c("_va"), c("_vb"), dim) <= eps2).select("_a", "_b").distinct()
     return materialize(found.unionByName(now))
 
 
@@ -168,7 +177,7 @@ def dbscan(df: DataFrame, pos: str, vec: str, dim: int, eps: float = 0.5,
                  .select("_a", F.array(*[F.col("_blk")[i] + F.col("_off")[i]
                                          for i in range(dim)]).alias("_blk"))
     other = cells.select(F.col("_fc").alias("_b"), "_blk", F.col("_W").alias("_Wb"))
-    pairs = probe.join(other, "_blk").where(F.col("_a") != F.col("_b")) \
+    pairs = _join(probe, other, "_blk").where(F.col("_a") != F.col("_b")) \
                  .where(_box(F.col("_a"), F.col("_b"), dim, False) <= lim) \
                  .withColumn("_full", _box(F.col("_a"), F.col("_b"), dim, True) <= lim) \
                  .select("_a", "_b", "_Wb", "_full")
@@ -176,21 +185,21 @@ def dbscan(df: DataFrame, pos: str, vec: str, dim: int, eps: float = 0.5,
 
     # neighbourhood weights: own cell + fully-covered cells; sites of other cells ask for the rest
     full_w = pairs.where("_full").groupBy(F.col("_a").alias("_fc")).agg(F.sum("_Wb").alias("_fw"))
-    known = materialize(cells.join(full_w, "_fc", "left").select("_fc", (F.col("_W") + F.coalesce("_fw", F.lit(0))).alias("_have")))
+    known = materialize(_join(cells, full_w, "_fc", "left").select("_fc", (F.col("_W") + F.coalesce("_fw", F.lit(0))).alias("_have")))
     part = pairs.where(~F.col("_full")).select("_a", "_b")
-    unsure = sites.join(known.where(F.col("_have") < min_samples), "_fc")
-    asked = unsure.join(part.withColumnRenamed("_a", "_fc"), "_fc") \
+    unsure = _join(sites, known.where(F.col("_have") < min_samples), "_fc")
+    asked = _join(unsure, part.withColumnRenamed("_a", "_fc"), "_fc") \
                   .select("_sid", F.col("_vec").alias("_va"), "_b", (F.lit(min_samples) - F.col("_have")).alias("_need"))
     crowded = _neighbours(asked, ["_sid"], sites, s, dim, eps2, witness=False)
-    marked = sites.join(known, "_fc").join(crowded.select("_sid", F.lit(True).alias("_met")), "_sid", "left")
+    marked = _join(_join(sites, known, "_fc"), crowded.select("_sid", F.lit(True).alias("_met")), "_sid", "left")
     sites_n = materialize(marked.select("_sid", "_fc", "_vec", "_w", ((F.col("_have") >= min_samples) | F.coalesce("_met", F.lit(False))).alias("_core")))
 
     # core cells and their links
     core = sites_n.where("_core")
     ccell = core.groupBy("_fc").agg(F.min("_sid").alias("_lab"))
     cset = ccell.select(F.col("_fc").alias("_x"))
-    both = pairs.select("_a", "_b", "_full").join(cset.withColumnRenamed("_x", "_a"), "_a", "left_semi") \
-                .join(cset.withColumnRenamed("_x", "_b"), "_b", "left_semi")
+    both = _join(_join(pairs.select("_a", "_b", "_full"), cset.withColumnRenamed("_x", "_a"), "_a", "left_semi"),
+                 cset.withColumnRenamed("_x", "_b"), "_b", "left_semi")
     e_part = _linked(both.where(~F.col("_full") & (F.col("_a") < F.col("_b"))).select("_a", "_b"), core, s, dim, eps2)
     edges = both.where("_full").select("_a", "_b").unionByName(e_part).unionByName(e_part.select(F.col("_b").alias("_a"), F.col("_a").alias("_b")))
     edges = materialize(edges.distinct())
@@ -198,15 +207,15 @@ def dbscan(df: DataFrame, pos: str, vec: str, dim: int, eps: float = 0.5,
     # node id of a core cell = its smallest core site; labels are node ids
     lab = materialize(ccell.select("_fc", F.col("_lab").alias("_id"), "_lab"))
     while True:  # until no label changes
-        nb = edges.join(lab.select(F.col("_fc").alias("_b"), F.col("_lab").alias("_nl")), "_b") \
+        nb = _join(edges, lab.select(F.col("_fc").alias("_b"), F.col("_lab").alias("_nl")), "_b") \
                   .groupBy(F.col("_a").alias("_fc")).agg(F.min("_nl").alias("_nl"))
-        hooked = lab.join(nb, "_fc", "left") \
+        hooked = _join(lab, nb, "_fc", "left") \
                     .select("_fc", "_id", F.least("_lab", F.coalesce("_nl", "_lab")).alias("_lab"),
                             F.coalesce(F.col("_nl") < F.col("_lab"), F.lit(False)).alias("_chg"))
         # pointer jumping: take the label of the node named by the label
         ref = hooked.select(F.col("_id").alias("_lab"), F.col("_lab").alias("_ll"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
         salted = hooked.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int"))
-        new = materialize(salted.join(ref, ["_lab", "_salt"], "left").select(
+        new = materialize(_join(salted, ref, ["_lab", "_salt"], "left").select(
             "_fc", "_id", F.least("_lab", F.coalesce("_ll", "_lab")).alias("_lab"),
             (F.col("_chg") | F.coalesce(F.col("_ll") < F.col("_lab"), F.lit(False))).alias("_chg")))
         changed = new.where("_chg").limit(1).count()
@@ -216,22 +225,22 @@ def dbscan(df: DataFrame, pos: str, vec: str, dim: int, eps: float = 0.5,
     lab = lab.select("_fc", "_lab")
 
     ids = ordered.global_index(lab.select("_lab").distinct(), ["_lab"], idx="_cid")
-    cell_cid = lab.join(ids, "_lab").select("_fc", "_cid")
-    core_lab = core.join(cell_cid, "_fc").select("_sid", "_cid")
+    cell_cid = _join(lab, ids, "_lab").select("_fc", "_cid")
+    core_lab = _join(core, cell_cid, "_fc").select("_sid", "_cid")
 
     # border sites: smallest cluster among the core sites within eps
     border = sites_n.where(~F.col("_core")).select("_sid", "_fc")
-    via_own = border.join(cell_cid, "_fc")
-    via_full = border.join(pairs.where("_full").select(F.col("_a").alias("_fc"), "_b"), "_fc") \
-                     .join(cell_cid.withColumnRenamed("_fc", "_b"), "_b")
-    ask = border.join(sites_n.select("_sid", "_vec"), "_sid").join(part.withColumnRenamed("_a", "_fc"), "_fc") \
-                .join(cset.withColumnRenamed("_x", "_b"), "_b", "left_semi") \
+    via_own = _join(border, cell_cid, "_fc")
+    via_full = _join(_join(border, pairs.where("_full").select(F.col("_a").alias("_fc"), "_b"), "_fc"),
+                     cell_cid.withColumnRenamed("_fc", "_b"), "_b")
+    near = _join(_join(border, sites_n.select("_sid", "_vec"), "_sid"), part.withColumnRenamed("_a", "_fc"), "_fc")
+    ask = _join(near, cset.withColumnRenamed("_x", "_b"), "_b", "left_semi") \
                 .select("_sid", F.col("_vec").alias("_va"), "_b", F.lit(1).alias("_need"))
-    via_part = _neighbours(ask, ["_sid", "_b"], core, s, dim, eps2, witness=True).join(cell_cid.withColumnRenamed("_fc", "_b"), "_b")
+    via_part = _join(_neighbours(ask, ["_sid", "_b"], core, s, dim, eps2, witness=True), cell_cid.withColumnRenamed("_fc", "_b"), "_b")
     border_lab = via_own.select("_sid", "_cid").unionByName(via_full.select("_sid", "_cid")) \
                         .unionByName(via_part.select("_sid", "_cid")) \
                         .groupBy("_sid").agg(F.min("_cid").alias("_cid"))
     site_lab = core_lab.unionByName(border_lab)
-    labelled = sites_n.select("_sid", "_vec").join(site_lab, "_sid", "left") \
+    labelled = _join(sites_n.select("_sid", "_vec"), site_lab, "_sid", "left") \
                       .select("_vec", F.coalesce(F.col("_cid"), F.lit(-1)).cast("int").alias(out))
-    return df.withColumn("_vec", v).join(labelled, "_vec").drop("_vec")
+    return _join(df.withColumn("_vec", v), labelled, "_vec").drop("_vec")

@@ -1,8 +1,11 @@
 """Distributed DBSCAN against a brute-force O(n^2) version on small inputs."""
 
+import random
+
 import numpy as np
 from pyspark.sql import functions as F
 
+from noticeflow.operators import dbscan as module
 from noticeflow.operators.dbscan import dbscan
 
 
@@ -93,3 +96,13 @@ def test_work_on_one_blob_is_about_linear(spark, monkeypatch):
         assert lab.count(0) > 0.98 * n
         work.append(sum(seen))
     assert work[1] < 8 * work[0]
+
+
+def test_growing_tables_are_never_broadcast(spark, monkeypatch):
+    # many equal coordinates: few bytes as Parquet, far more in the driver's memory
+    rng, seen, plain = random.Random(4), [], module.materialize
+    monkeypatch.setattr(module, "materialize", lambda df: seen.append(df._jdf.queryExecution().executedPlan().toString()) or plain(df))
+    pts = [(i, [rng.choice([0.0, 0.3, 0.6, 2.0]), rng.random() * 3]) for i in range(200)]
+    dbscan(spark.createDataFrame(pts, "_row_pos bigint, vec array<double>"), "_row_pos", "vec", 2, 0.4, 4).count()
+    assert sum("SortMergeJoin" in p for p in seen) > 5
+    assert not [p for p in seen if "BroadcastHashJoin" in p]
