@@ -87,7 +87,8 @@ def _classifier(name: str, s: dict, wsum: float | None = None):
     if name == "dt":
         return DecisionTreeClassifier(featuresCol="features", labelCol="label", weightCol="_w",
                                       maxDepth=_depth(s["max_depth"]),
-                                      minInstancesPerNode=s["min_samples_leaf"], leafCol="leaf", seed=42)
+                                      minInstancesPerNode=s["min_samples_leaf"], leafCol="leaf", seed=42,
+                                      cacheNodeIds=True)
     raise ValueError(f"unknown classifier {name!r}")
 
 
@@ -98,7 +99,8 @@ def _regressor(name: str, s: dict):
     if name == "rf":
         return RandomForestRegressor(featuresCol="features", labelCol="label",
                                      numTrees=s["n_estimators"], maxDepth=s["max_depth"],
-                                     featureSubsetStrategy="all", leafCol="leaf", seed=42)
+                                     featureSubsetStrategy="all", leafCol="leaf", seed=42,
+                                     cacheNodeIds=True)  # deep trees: rows keep their node, no trees are sent
     raise ValueError(f"unknown model {name!r}")
 
 
@@ -192,6 +194,19 @@ def _weighted(train: DataFrame, task: str) -> DataFrame:
     return balanced_weights(train, "label") if task == "classification" else train
 
 
+def _kept(train: DataFrame, name: str) -> DataFrame:
+    """``train`` cached and filled, so that fits in several threads read finished blocks
+    and none of them runs the plan behind it.
+
+    A forest draws its rows by partition and place. Files of one size come in any order,
+    so its rows are dealt by key and sorted first: equal rows then give equal forests."""
+    if name == "rf":
+        train = train.repartition(max(1, train.rdd.getNumPartitions()), "_row_key").sortWithinPartitions("_row_key", "label")
+    train = train.cache()
+    train.count()
+    return train
+
+
 def _estimator(name: str, task: str, s: dict, train: DataFrame):
     if task == "regression":
         return _regressor(name, s)
@@ -231,7 +246,7 @@ def search(df: DataFrame, cats: list[str], nums: list[str], name: str, task: str
     sums: dict[int, list[float]] = {i: [] for i in range(len(settings))}
     for k in folds:
         _, x = prepared(df.where(F.col(fold_col) != k), df)
-        train, held = _weighted(x.where(F.col(fold_col) != k), task).cache(), x.where(F.col(fold_col) == k)
+        train, held = _kept(_weighted(x.where(F.col(fold_col) != k), task), name), x.where(F.col(fold_col) == k)
 
         def one(job, train=train, held=held):
             fit, family = job
@@ -247,7 +262,7 @@ def search(df: DataFrame, cats: list[str], nums: list[str], name: str, task: str
     scores = [(s, sum(sums[i]) / len(sums[i])) for i, s in enumerate(settings)]
     best = pick(scores, key=lambda t: t[1])[0]
     pre, x = prepared(df, df)
-    train = _weighted(x, task).cache()
+    train = _kept(_weighted(x, task), name)
     model = _estimator(name, task, best, train).fit(train)
     train.unpersist()
     return Fitted(pre, model), scores

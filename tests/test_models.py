@@ -127,3 +127,23 @@ def test_bounded_sample(spark):
 def test_unknown_model(rows):
     with pytest.raises(ValueError):
         models.search(rows, CATS, NUMS, "svm", "regression")
+
+
+def test_equal_rows_give_equal_forests_in_any_order(rows):
+    reg = rows.withColumn("label", F.coalesce("x", F.lit(0.0)) + F.col("y"))
+    grid = {"n_estimators": [3], "max_depth": [3]}
+    turned = reg.repartition(1).orderBy(F.desc("_row_key")).coalesce(1)
+    one, two = (models._kept(t.select("_row_key", "label"), "rf") for t in (reg.coalesce(1), turned))
+    assert [r._row_key for r in one.collect()] == [r._row_key for r in two.collect()]
+    (_, a), (_, b) = (models.search(t, CATS, NUMS, "rf", "regression", grid=grid)[1][0] for t in (reg.coalesce(1), turned))
+    assert a == pytest.approx(b, rel=1e-12)
+
+
+def test_fits_in_threads_read_finished_blocks(rows, monkeypatch):
+    ready, plain = [], models._estimator
+    stored = lambda: sum(i.numCachedPartitions() for i in rows.sparkSession.sparkContext._jsc.sc().getRDDStorageInfo())
+    rows.count()
+    before = stored()
+    monkeypatch.setattr(models, "_estimator", lambda *a: ready.append(stored()) or plain(*a))
+    models.search(rows, CATS, NUMS, "lasso", "regression", grid={"alpha": [0.1]})
+    assert ready and min(ready) > before
