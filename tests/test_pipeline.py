@@ -48,3 +48,21 @@ def test_run_pipeline_writes_each_stage(spark):
     codes = sorted(r.ID_NOTICE for r in spark.read.parquet(paths["ted_combined"])
                    .select("ID_NOTICE").distinct().collect())
     assert codes == list(range(len(codes)))
+
+
+def test_golden_table_moves_only_its_columns(spark, monkeypatch):
+    plans, plain = [], pl.materialize
+    monkeypatch.setattr(pl, "materialize", lambda df: plans.append(df) or plain(df))
+    from noticeflow.sources import fixtures
+    fixtures.forget(spark)
+    base.golden(spark, SF_SMALL)
+    kept = [k for k in spark._noticeflow_plans if k[0] in ("stage02", "stage03")]
+    fixtures.forget(spark)
+    assert not kept and len(plans) > 3
+
+
+def test_lines_meet_orders_last(spark):
+    from noticeflow.sources import fixtures
+    plan = fixtures._base(spark, SF_SMALL, "O")._jdf.queryExecution().analyzed().toString()
+    top = next(x for x in plan.splitlines() if "Join Inner" in x)
+    assert "l_orderkey" in top and "o_orderkey" in top
