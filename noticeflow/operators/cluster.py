@@ -10,6 +10,8 @@ arbitrary cluster order.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.ml.clustering import GaussianMixture, KMeans
@@ -29,19 +31,29 @@ def _relabel(df: DataFrame, centers: list, col: str) -> DataFrame:
     return df.withColumn(col, m[F.col(col)].cast("int"))
 
 
+#: Starts that are fitted side by side; each keeps its own rows in memory.
+PARALLEL = 3
+
+
+def _starts(fitted: Callable[[int], tuple], n: int) -> list[tuple]:
+    """``fitted(0) .. fitted(n - 1)`` in order. A step of a fit is one short job over
+    few columns, so several fits share the cores."""
+    with ThreadPoolExecutor(PARALLEL) as pool:
+        return list(pool.map(fitted, range(n)))
+
+
 def train_kmeans(df: DataFrame, k: int = 4, n_init: int = 15, seed: int = 42,
                  features: str = "features", out: str = "cluster"):
     """M3: best of ``n_init`` seeded k-means fits (lowest training cost)."""
     data = materialized(df)
-    best = None
-    for i in range(n_init):
+
+    def fitted(i: int) -> tuple[float, object]:
         m = KMeans(k=k, seed=seed + i, maxIter=300, featuresCol=features, predictionCol=out).fit(data)
         if m.summary.numIter >= 300:
             raise RuntimeError("k-means did not converge in 300 iterations")
-        cost = m.summary.trainingCost
-        if best is None or cost < best[0]:
-            best = (cost, m)
-    model = best[1]
+        return m.summary.trainingCost, m
+
+    model = min(_starts(fitted, n_init), key=lambda t: t[0])[1]
     centers = [c.tolist() for c in model.clusterCenters()]
     res = _relabel(model.transform(data), centers, out)
     return res, model
@@ -71,16 +83,15 @@ def train_gmm(df: DataFrame, k: int = 4, n_init: int = 3, seed: int = 42,
     """M6: best of ``n_init`` Gaussian mixtures (full covariance) by
     log-likelihood; hard label = most probable component."""
     data = materialized(df)
-    best = None
-    for i in range(n_init):
+
+    def fitted(i: int) -> tuple[float, object]:
         m = GaussianMixture(k=k, maxIter=1000, seed=seed + i, featuresCol=features, predictionCol=out,
                             probabilityCol="_prob").fit(data)
         if m.summary.numIter >= 1000:
             raise RuntimeError("the mixture did not converge in 1000 iterations")
-        ll = m.summary.logLikelihood
-        if best is None or ll > best[0]:
-            best = (ll, m)
-    model = best[1]
+        return m.summary.logLikelihood, m
+
+    model = max(_starts(fitted, n_init), key=lambda t: t[0])[1]
     means = [g.mean.toArray().tolist() for g in model.gaussians]
     res = model.transform(data).withColumn("probability", F.array_max(vector_to_array("_prob")))
     return _relabel(res.drop("_prob"), means, out), model

@@ -1,10 +1,12 @@
 """Mixtures, segments and projections against what they must satisfy."""
 
 import math
+import threading
 
 import numpy as np
 import pytest
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from noticeflow.operators import cluster, optimality
@@ -73,3 +75,20 @@ def test_principal_axes(spark, table, points):
     assert np.allclose(ratio, want[:2] / want.sum())
     rows = optimality.components(proj, ratio, axes).collect()
     assert [r.Component for r in rows] == [1, 2] and all(r.Orthonormal and r.Uncorrelated and r.Rows == 320 for r in rows)
+
+
+def test_starts_of_a_fit_run_side_by_side(spark, monkeypatch):
+    rows = spark.createDataFrame([(Vectors.dense([float(i % 3) * 5 + i * 0.01, float(i % 7)]),) for i in range(60)], ["features"])
+    met = threading.Barrier(2)
+
+    def together(cls):
+        plain = cls.fit
+        return lambda self, data: (met.wait(60), plain(self, data))[1]
+
+    alone = [cluster.KMeans(k=3, seed=42 + i, maxIter=300).fit(rows).summary.trainingCost for i in range(2)]
+    monkeypatch.setattr(cluster.KMeans, "fit", together(cluster.KMeans))
+    monkeypatch.setattr(cluster.GaussianMixture, "fit", together(cluster.GaussianMixture))
+    res, model = cluster.train_kmeans(rows, 3, 2)
+    assert model.summary.trainingCost == pytest.approx(min(alone))
+    res, model = cluster.train_gmm(rows, 2, 2)
+    assert res.count() == 60 and model.summary.logLikelihood < 0
