@@ -147,3 +147,33 @@ def test_fits_in_threads_read_finished_blocks(rows, monkeypatch):
     monkeypatch.setattr(models, "_estimator", lambda *a: ready.append(stored()) or plain(*a))
     models.search(rows, CATS, NUMS, "lasso", "regression", grid={"alpha": [0.1]})
     assert ready and min(ready) > before
+
+
+def test_boosted_histograms_are_read_column_by_column():
+    """Sums per node, column and bin of the drawn rows decide the splits, also where most rows
+    have left the level; a plain loop over rows gives the same first levels."""
+    rng = np.random.default_rng(3)
+    n = 400
+    num, cat = rng.integers(0, 9, (n, 2)).astype(float), rng.integers(-1, 5, (n, 2)).astype(np.int32)
+    y = ((num[:, 0] > 4) ^ (cat[:, 1] == 2)).astype(float)
+    t = boosting.Table(num, cat, y, np.ones(n), rng.integers(0, 3, n), [5, 5])
+    train = t.fold != 0
+    trees, bins, base = boosting.grow(t, train, "regression", {"learning_rate": 1.0, "max_depth": 6, "subsample": 1.0}, 1)
+    tree, codes, g = trees[0], bins.codes(num, cat), base - y
+    node = np.zeros(n, int)
+    for i in range(len(tree["left"])):
+        here = train & (node == i)
+        assert np.isclose(tree["value"][i], -g[here].sum() / (here.sum() + boosting.LAMBDA))
+        if not tree["left"][i]:
+            continue
+        part = lambda m: g[m].sum() ** 2 / (m.sum() + boosting.LAMBDA)
+        gains = []
+        for c in range(4):
+            for b in range(len(bins.cuts[c]) if c < 2 else 5):
+                left = here & (codes[:, c] <= b if c < 2 else codes[:, c] == b)
+                ok = (b > 0 or c < 2) and left.sum() >= 1 and (here & ~left).sum() >= 1
+                gains.append(part(left) + part(here & ~left) - part(here) if ok else -np.inf)
+        c, b = tree["column"][i], tree["bin"][i]
+        goes = codes[:, c] <= b if c < 2 else codes[:, c] == b
+        assert np.isclose(part(here & goes) + part(here & ~goes) - part(here), max(gains))
+        node[(node == i) & goes], node[(node == i) & ~goes] = tree["left"][i], tree["left"][i] + 1
