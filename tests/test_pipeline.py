@@ -66,3 +66,24 @@ def test_lines_meet_orders_last(spark):
     plan = fixtures._base(spark, SF_SMALL, "O")._jdf.queryExecution().analyzed().toString()
     top = next(x for x in plan.splitlines() if "Join Inner" in x)
     assert "l_orderkey" in top and "o_orderkey" in top
+
+
+def test_golden_lines_meet_matched_ids_first(spark):
+    """Rows of stages 01-03, null lots included; the semi-join on ids is below all other joins of a line."""
+    from noticeflow.sources import fixtures
+    early, late = pl.matched_raw(spark, SF_SMALL), pl.lot_matched(pl.notice_matched(pl.prepared(spark, SF_SMALL)))
+    for a, b in ((early.cfc, late.cfc), (early.can, late.can)):
+        assert a.columns == b.columns and a.count() == b.count() > 0
+        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    plan = early.cfc._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = {kind: [len(x) - len(x.lstrip(" :|+-")) for x in plan if kind in x] for kind in ("Join LeftSemi", "Join Inner")}
+    lines = [len(x) - len(x.lstrip(" :|+-")) for x in plan if "Relation [l_orderkey" in x]
+    assert depth["Join LeftSemi"] and min(depth["Join LeftSemi"]) > min(depth["Join Inner"]) and lines
+    assert sum(1 for x in plan if "Join LeftSemi" in x) == 1
+
+
+def test_with_ids_null_and_repeated(spark):
+    from noticeflow.operators import match
+    df = spark.createDataFrame([("1", None, 1), ("1", None, 1), ("1", "a", 2), (None, "a", 3), (None, None, 4), ("2", "b", 5)], "n string, lot string, v int")
+    ids = spark.createDataFrame([("1", None), ("1", None), (None, "a"), ("2", "c")], "n string, lot string")
+    assert sorted(tuple(r) for r in match.with_ids(df, ids, ["n", "lot"]).collect()) == [("1", None, 1), ("1", None, 1)]
