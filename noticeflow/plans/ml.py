@@ -267,8 +267,10 @@ def lasso_optimal(spark, d):
 @query
 def forest_range(spark, d):
     """Predictions of averaged trees stay inside the labels' range."""
-    best, _, x = _reg_train(spark, d, "rf")
-    return optimality.forest_range(x, best.model)
+    t = reg_table(spark, d)
+    t = materialize(t.where(F.col("_is_test") == 0).select("_row_key", "fold", "label", *REG_CATEGORICAL, *REG_NUMERIC))
+    best, _ = models.search(t, REG_CATEGORICAL, REG_NUMERIC, "rf", "regression")
+    return optimality.forest_range(t, best)
 
 
 @query
