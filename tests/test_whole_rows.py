@@ -30,7 +30,7 @@ def seen_rows(monkeypatch) -> list[int]:
     return seen
 
 
-@pytest.mark.parametrize("task", ["classification"])
+@pytest.mark.parametrize("task", ["classification", "regression"])
 def test_boosted_searches_train_on_all_rows(rows, monkeypatch, task):
     seen = seen_rows(monkeypatch)
     grid = {"n_estimators": [2], "learning_rate": [0.3], "max_depth": [2], "subsample": [1.0]}
