@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from noticeflow.operators import boosting, models
+from noticeflow.operators import boosting, features, models, trees
+from noticeflow.plans import ml
 
 CATS, NUMS = ["c", "d"], ["x", "y"]
 
@@ -37,3 +38,26 @@ def test_boosted_searches_train_on_all_rows(rows, monkeypatch, task):
     model, _ = models.search(rows, CATS, NUMS, "gbt", task, grid=grid)
     assert seen == [400] * 4
     assert model.base == pytest.approx(rows.agg(F.avg("label")).first()[0] if task == "regression" else 0.0)  # balanced by their weights
+
+
+def class_rows(rows):
+    named = {c: F.col("c") if i % 2 else F.col("d") for i, c in enumerate(ml.CLASS_CATEGORICAL)} | {c: F.col("x") + i for i, c in enumerate(ml.CLASS_NUMERIC)}
+    return rows.withColumns(named).withColumn("TARGET_MARKET_FAILURE", F.col("label").cast("int")).withColumn("_is_test", F.lit(0)).drop("label", *CATS, *NUMS)
+
+
+def test_first_split_is_compared_with_all_rows(spark, rows, monkeypatch):
+    seen = seen_rows(monkeypatch)
+    monkeypatch.setattr(ml, "class_table", lambda *_: class_rows(rows))
+    out = ml.boosted_first_split(spark, "").collect()
+    assert seen == [400] and out and all(r.Not_Above_Root for r in out)
+    # the root's gain is that of all rows, too
+    pre = features.fit_preprocessor(rows, CATS, NUMS)
+    ratio = models.class_ratio(rows)
+    t = trees.coded_tables(rows, {None: pre}, {None: ratio}, "fold")[None]
+    model = boosting.fit_model(spark, t, pre, "classification", {"n_estimators": 1, "learning_rate": 1.0, "max_depth": 1, "subsample": 1.0})
+    tree, p = model.trees[0], 1 / (1 + np.exp(-model.base))
+    g, h = t.w * (p - t.y), t.w * p * (1 - p)
+    code = t.codes[:, tree["column"][0]]
+    left = code <= tree["bin"][0] if tree["column"][0] < 2 else code == tree["bin"][0]
+    part = lambda m: g[m].sum() ** 2 / (h[m].sum() + 1)
+    assert boosting.root_gain(pre.coded(rows), model, ratio) == pytest.approx(part(left) + part(~left) - part(left | True))
